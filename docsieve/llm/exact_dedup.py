@@ -51,9 +51,9 @@ def build_directory(entries: DataFrame, capacity: int) -> DataFrame:
     return local.withColumn("bucket", F.expr(f"shiftleft(shiftright(slot, {depth} - depth), {depth} - depth)")).withColumn("global_depth", F.lit(depth))
 
 
-def build_index(keyed: DataFrame, capacity: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """``keyed`` has _xd_id, _xd_norm, h. Returns the index (bucket, h, keep_id, group_size, n_texts, kind) and the
-    texts of chained hashes (h, chain_text, keep_id, group_size)."""
+def build_index(keyed: DataFrame, capacity: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``keyed`` has _xd_id, _xd_norm, h. Returns the index (bucket, h, keep_id, group_size, n_texts, kind), its chained
+    hashes (h) and their texts (h, chain_text, keep_id, group_size)."""
     entries = keyed.groupBy("h", "_xd_norm").agg(F.max("_xd_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     entries = persist_table(entries.drop("_xd_norm"), "dedup-entries")
     directory = persist_table(build_directory(entries, capacity), "dedup-directory")
@@ -69,9 +69,10 @@ def build_index(keyed: DataFrame, capacity: int = 4096) -> tuple[DataFrame, Data
     )
     kind = F.when(F.col("n_texts") > 1, "chain").when(F.col("group_size") > 1, "copies").otherwise("single")
     index = persist_table(owned.withColumn("kind", kind), "dedup-index", partition_by="kind")
-    chained = index.filter("kind = 'chain'").select("h")
+    # A table of its own, so that its true size decides between a broadcast and a shuffle of the texts.
+    chained = persist_table(index.filter("kind = 'chain'").select("h"), "dedup-chains")
     texts = keyed.join(chained, "h").groupBy("h", F.col("_xd_norm").alias("chain_text"))
-    return index, texts.agg(F.max("_xd_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return index, chained, texts.agg(F.max("_xd_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, hash_bits: int = 64) -> DataFrame:
@@ -81,10 +82,10 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     base = docs.withColumn("_xd_norm", ascii_lower(whole_text(text_col))).withColumn("_xd_h", text_hash(F.col("_xd_norm"), hash_bits))
     keyed = base.select(F.col(id_col).alias("_xd_id"), "_xd_norm", F.col("_xd_h").alias("h"))
-    index, chain_texts = build_index(keyed, capacity)
+    index, chained, chain_texts = build_index(keyed, capacity)
     groups = index.filter("kind = 'copies'").select(F.col("h").alias("_xd_gh"), F.lit(None).cast("string").alias("_xd_chain_text"), F.col("keep_id").alias("_xd_gk"), F.col("group_size").alias("_xd_gs"))
     chains = chain_texts.filter("group_size > 1").select(F.col("h").alias("_xd_gh"), F.col("chain_text").alias("_xd_chain_text"), F.col("keep_id").alias("_xd_gk"), F.col("group_size").alias("_xd_gs"))
-    chained = index.filter("kind = 'chain'").select(F.col("h").alias("_xd_ch"))
+    chained = chained.select(F.col("h").alias("_xd_ch"))
     rows = (
         base.withColumn("_xd_sha256", F.sha2(F.col("_xd_norm").cast("binary"), 256))
         .join(chained, F.col("_xd_h") == F.col("_xd_ch"), "left")
