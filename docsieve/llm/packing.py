@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsieve.llm.common import whole_text
 
@@ -133,7 +134,7 @@ def tokenise_pieces(docs: DataFrame, json_path: str, ranks_path: str | None = No
 
 def pack_pieces(pieces: DataFrame, limit: int = LIMIT, open_bins: int = OPEN_BINS) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset."""
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins = BestFitBins(limit, open_bins)
