@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm import exact_dedup, hnsw, langid, packing, piece_sampling, quality, simhash, token_count
+from docsieve.llm import exact_dedup, hnsw, html_blocks, langid, packing, piece_sampling, quality, simhash, token_count
 from docsieve.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -44,7 +48,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_sentencepiece_sampling, op4_simhash_near_dedup, op5_quality_classifier, op7_hnsw_search, op8_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_sentencepiece_sampling, op4_simhash_near_dedup, op5_quality_classifier, op6_html_extraction, op7_hnsw_search, op8_token_counts, op10_language_id)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
