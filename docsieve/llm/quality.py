@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ WORDS, SHAPES, DIM, NONZERO, WINDOW = 8192, 1024, 64, 4, 2
 BUCKETS = WORDS + SHAPES
 ROWS_PER_CHUNK = 1024
 MAX_LABELLED, HIDDEN, THRESHOLD = 20_000, 32, 0.3
-_CORE = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
+_SIGNS, _DIGIT = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~¡¿«»…“”‘’„–—•", re.compile(r"\d")
 
 
 def index_vectors(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -44,19 +45,28 @@ def index_vectors(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shape(token: str) -> tuple[int, int]:
-    before, core, after = _CORE.match(token).groups()
+    before = after = digits = ""
+    core = token
+    if not token.isalpha():
+        core = token.lstrip(_SIGNS)
+        before = token[: len(token) - len(core)][:3]
+        core, after = core.rstrip(_SIGNS), core[len(core.rstrip(_SIGNS)) :][:3]
+        digits = "d" if _DIGIT.search(core) else ""
     low = core.lower()
-    case = "u" if core.isupper() and len(core) > 1 else "t" if core[:1].isupper() else "l" if core.islower() else "-"
-    digits = "d" if any(c.isdigit() for c in core) else ""
-    size = min(len(core), 20) // 4
-    shape = f"{case}{digits}{size}|{before[:3]}|{after[:3]}"
-    return zlib.crc32(low.encode("utf-8", "surrogatepass")) % WORDS, WORDS + 2 * (zlib.crc32(shape.encode("utf-8", "surrogatepass")) % (SHAPES // 2))
+    case = "l" if core == low else "u" if len(core) > 1 and core == core.upper() else "t" if core[0] != low[0] else "-"
+    shape = f"{case}{digits}{min(len(core), 20) // 4}|{before}|{after}"
+    return zlib.crc32(low.encode("utf-8", "surrogatepass")) % WORDS, WORDS + 2 * _shape_bucket(shape)
+
+
+@lru_cache(maxsize=4096)
+def _shape_bucket(shape: str) -> int:
+    return zlib.crc32(shape.encode("utf-8", "surrogatepass")) % (SHAPES // 2)
 
 
 class Units:
     """Texts to unit buckets; remembers the tokens it has seen, up to a bound."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 400_000):
         self.number: dict[str, int] = {}
         self.pairs, self.most = np.zeros((0, 2), np.int64), most
 
