@@ -31,7 +31,7 @@ from docsieve.llm.token_count import _groups
 
 MARK, LITERAL_MARK = "▁", "﷐"  # a mark of the text itself travels as a noncharacter
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-POWER, MOST_EDGES = 1.0, 3_000_000
+POWER, MOST_EDGES = 1.0, 4_000_000
 
 
 def _extend(h: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -80,8 +80,8 @@ class Lattice:
     def clear(self) -> None:
         self.end_node: dict[str, int] = {}
         self.nodes = 0
-        self.held, self.source, self.token = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.is_start, self.first_edge = np.zeros(0, bool), np.zeros(0, np.int64)
+        self.held, self.source, self.token = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.is_start, self.first_edge = np.zeros(0, bool), np.zeros(0, np.int32)
 
     def _spell(self, char: str) -> int:
         """The stand-in token of a character that is spelled in bytes."""
@@ -128,7 +128,7 @@ class Lattice:
         """Forward-filter new units; all their places j are done at a time, for j = 1, 2, ..."""
         base = self.nodes
         source, to, token, weight, place = self.edges(units, base)
-        order = np.lexsort((source, to, place))
+        order = np.argsort((place << 40) | ((to - base) << 5) | (to - source))
         source, to, token, weight, place = source[order], to[order], token[order], weight[order], place[order]
         first = np.cumsum([0] + [len(u) + 1 for u in units])
         filtered = np.zeros(int(first[-1]))
@@ -143,7 +143,7 @@ class Lattice:
             total = np.add.reduceat(odds, begins)
             filtered[to[a:b][begins] - base] = top + np.log(total)
             share[a:b] = odds / np.repeat(total, many)
-        order = np.lexsort((source, -share, to))  # likely edges first
+        order = np.argsort(((to - base) << 5) | (31 - (to - source)))  # long pieces first: they are the likely ones
         source, to, token, share = source[order], to[order], token[order], share[order]
         begins = np.flatnonzero(np.diff(to, prepend=-1))
         many = np.diff(begins, append=len(to))
@@ -155,24 +155,32 @@ class Lattice:
         is_start[base + first[:-1]] = True
         self.nodes, self.is_start = len(is_start), is_start
         self.end_node.update(zip(units, (base + first[1:] - 1).tolist(), strict=True))
-        edge_of = np.full(len(is_start), -1)
+        edge_of = np.full(len(is_start), -1, np.int32)
         edge_of[:base] = self.first_edge
         edge_of[to[begins]] = len(self.held) + begins
         self.first_edge = edge_of
         self.held = np.concatenate([self.held, np.minimum(held, 1.0)])
-        self.source = np.concatenate([self.source, source])
-        self.token = np.concatenate([self.token, token])
+        self.source = np.concatenate([self.source, source.astype(np.int32)])
+        self.token = np.concatenate([self.token, token.astype(np.int32)])
 
     def encode(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """Sampled ids of each text; ``keys`` (uint64) seed the rows."""
         units = [UNIT.findall(MARK + t.replace(MARK, LITERAL_MARK).replace(" ", MARK)) if t else [] for t in texts]
         flat = [u for us in units for u in us]
-        missing = set(flat) - self.end_node.keys()
+        missing = sorted(set(flat) - self.end_node.keys())
+        full = (self.nodes, len(self.held)) if len(self.held) > MOST_EDGES else None
         if missing:
-            if len(self.held) > MOST_EDGES:
-                self.clear()
-                missing = set(flat)
-            self.add(sorted(missing))
+            self.add(missing)
+        out = self._sample(texts, units, flat, keys)
+        if full and missing:  # the units kept so far stay; the new ones were for this batch
+            self.nodes = full[0]
+            self.held, self.source, self.token = (x[: full[1]].copy() for x in (self.held, self.source, self.token))
+            self.is_start, self.first_edge = self.is_start[: full[0]].copy(), self.first_edge[: full[0]].copy()
+            for u in missing:
+                del self.end_node[u]
+        return out
+
+    def _sample(self, texts: list[str], units: list[list[str]], flat: list[str], keys: np.ndarray) -> list[np.ndarray]:
         sizes = np.array([len(u) for u in units], np.int64)
         doc = np.repeat(np.arange(len(texts)), sizes)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -188,14 +196,14 @@ class Lattice:
                 late = late[self.held[edge[late]] <= u[late]]
             rows.append(who)
             steps.append(np.full(len(who), step))
-            tokens.append(self.token[edge])
-            at = self.source[edge]
+            tokens.append(self.token[edge].astype(np.int64))
+            at = self.source[edge].astype(np.int64)
             go = ~self.is_start[at]
             who, at, step = who[go], at[go], step + 1
         if not rows:
             return [np.zeros(0, "<u4") for _ in texts]
         row, back, token = np.concatenate(rows), np.concatenate(steps), np.concatenate(tokens)
-        order = np.lexsort((-back, row))
+        order = np.argsort((row << 24) - back)
         row, token = row[order], token[order]
         if (token >= self.size).any():
             long = np.ones(len(token), np.int64)
