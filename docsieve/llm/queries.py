@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm import exact_dedup, hnsw, html_blocks, langid, packing, piece_sampling, quality, simhash, token_count
+from docsieve.llm import exact_dedup, hnsw, html_blocks, langid, packing, piece_sampling, quality, simhash, suffix_dedup, token_count
 from docsieve.llm.common import table
 
 
@@ -44,11 +44,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_sentencepiece_sampling, op4_simhash_near_dedup, op5_quality_classifier, op6_html_extraction, op7_hnsw_search, op8_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_sentencepiece_sampling, op4_simhash_near_dedup, op5_quality_classifier, op6_html_extraction, op7_hnsw_search, op8_token_counts, op9_suffix_dedup, op10_language_id)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
