@@ -1,6 +1,404 @@
-"""The registered queries of the library and their SQL twins."""
+"""The registered queries of the library and their SQL twins (for DuckDB)."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docsieve.functions import sampling, similarity
+from docsieve.functions import text as X
+from docsieve.functions import values as V
+from docsieve.operators import operations as O
+from docsieve.operators import report as R
+from docsieve.operators import terms as T
+from docsieve.sources.tables import items, read, tasks
+from docsieve.streaming import guards
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+STATUS_SQL = "CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' ELSE 'completed' END"
+TASKS_SQL = f"""tasks AS (SELECT o_orderkey AS task_id, 'user:' || CAST(o_custkey AS VARCHAR) AS owner, {STATUS_SQL} AS status,
+    o_orderpriority AS task_type, o_orderdate AS created_at, o_totalprice AS size FROM orders)"""
+ITEMS_SQL = """items AS (SELECT l_orderkey AS task_id, 'check_' || CAST(l_suppkey % 5 AS VARCHAR) AS code, CAST(l_partkey * 10 + l_linenumber AS BIGINT) AS idx,
+    CASE l_returnflag WHEN 'R' THEN 'issue' WHEN 'A' THEN 'suggestion' ELSE 'non_issue' END AS type, 'p' || CAST(l_partkey AS VARCHAR) AS location,
+    CASE WHEN l_tax < 0.02 THEN 'high' WHEN l_tax < 0.05 THEN 'medium' WHEN l_tax < 0.07 THEN 'low' ELSE '' END AS severity,
+    CASE WHEN l_discount < 0.03 THEN 'high' WHEN l_discount < 0.06 THEN 'medium' ELSE 'low' END AS confidence,
+    'cat' || CAST(l_suppkey % 3 AS VARCHAR) AS category, '' AS excerpt, 'd' || CAST(l_linenumber % 2 AS VARCHAR) AS description, '' AS impact, '' AS suggestion,
+    CASE l_linestatus WHEN 'F' THEN 'accepted' ELSE 'rejected' END AS acceptance FROM lineitem)"""
+TYPE_RANK = "CASE type WHEN 'issue' THEN 0 WHEN 'suggestion' THEN 1 ELSE 2 END"
+CONFIDENCE_RANK = "CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END"
+SEVERITY_RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END"
+
+SENSITIVE = [T.SensitiveRule("worthless", "of little use"), T.SensitiveRule("trash", "waste"), T.SensitiveRule("disgusting", "unpleasant"), T.SensitiveRule("the", "der"), T.SensitiveRule("und", "and"), T.SensitiveRule("ción", "cion")]
+SENSITIVE_SQL = "rules(invalid, standard) AS (VALUES ('worthless', 'of little use'), ('trash', 'waste'), ('disgusting', 'unpleasant'), ('the', 'der'), ('und', 'and'), ('ción', 'cion'))"
+COMMON = [T.CommonRule("Was", ("that", "with")), T.CommonRule("einen", ("eine", "der", "Der")), T.CommonRule("THE")]
+
+
+# ---------------------------------------------------------------- term checks
+
+
+@query(f"""WITH {SENSITIVE_SQL}
+    SELECT doc_id, invalid, standard, CAST((length(text) - length(replace(text, invalid, ''))) / length(invalid) AS BIGINT) AS hits, CAST(instr(text, invalid) - 1 AS BIGINT) AS first_pos
+    FROM documents, rules WHERE contains(text, invalid)""")
+def op_sensitive_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.sensitive_matches(read(spark, sf_dir, "documents"), SENSITIVE).select("doc_id", "invalid", "standard", "hits", "first_pos")
+
+
+@query(f"""WITH {SENSITIVE_SQL}, hit AS (SELECT doc_id, CAST((length(text) - length(replace(text, invalid, ''))) / length(invalid) AS BIGINT) AS hits FROM documents, rules WHERE contains(text, invalid)),
+    g AS (SELECT doc_id, count(*) AS kinds, sum(hits) AS total_hits FROM hit GROUP BY doc_id)
+    SELECT d.doc_id, CAST(coalesce(kinds, 0) AS BIGINT) AS kinds, CAST(coalesce(total_hits, 0) AS BIGINT) AS total_hits, CAST(greatest(coalesce(kinds, 0) - 2, 0) AS BIGINT) AS hidden_kinds FROM documents d LEFT JOIN g USING (doc_id)""")
+def op_sensitive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.sensitive_summary(read(spark, sf_dir, "documents"), SENSITIVE, limit=2)
+
+
+@query()
+def op_sensitive_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.sensitive_items(read(spark, sf_dir, "documents"), SENSITIVE)
+
+
+@query("""WITH r(standard, term) AS (VALUES ('Was', 'that'), ('Was', 'with'), ('einen', 'eine'), ('einen', 'der'), ('einen', 'Der'))
+    SELECT doc_id, standard, term AS observed, CAST(len(regexp_extract_all(text, '\\b' || term || '\\b')) AS BIGINT) AS hits
+    FROM documents, r WHERE regexp_matches(text, '\\b' || term || '\\b')""")
+def op_common_discouraged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = T.term_candidates(read(spark, sf_dir, "documents"), COMMON).filter("kind = 'discouraged'")
+    return found.groupBy("doc_id", "standard", "observed").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query()
+def op_common_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.common_matches(read(spark, sf_dir, "documents"), COMMON).select("doc_id", "observed", "standard", "kind", "hits", "first_pos")
+
+
+@query()
+def op_common_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.common_items(read(spark, sf_dir, "documents"), COMMON, limit=5)
+
+
+@query("""SELECT doc_id, CAST(length(regexp_replace(substr(text, 1, CAST(instr(text, 'the') - 1 AS BIGINT)), '[^\\n]', '', 'g')) + 1 AS BIGINT) AS line,
+    CASE WHEN greatest(0, instr(text, 'the') - 46) > 0 THEN '...' ELSE '' END
+    || trim(regexp_replace(substr(text, CAST(greatest(0, instr(text, 'the') - 46) + 1 AS BIGINT), CAST(least(length(text), instr(text, 'the') + 47) - greatest(0, instr(text, 'the') - 46) AS BIGINT)), '\\s+', ' ', 'g'))
+    || CASE WHEN least(length(text), instr(text, 'the') + 47) < length(text) THEN '...' ELSE '' END AS excerpt
+    FROM documents WHERE contains(text, 'the')""")
+def op_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").filter(F.contains("text", F.lit("the")))
+    at = F.instr("text", "the") - 1
+    return docs.select("doc_id", X.line_number(F.col("text"), at).alias("line"), X.excerpt(F.col("text"), at, F.lit(3)).alias("excerpt"))
+
+
+@query("""WITH c AS (SELECT doc_id, text, len(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]')) AS cjk,
+      length(regexp_replace(array_to_string(list_transform(string_split_regex(text, '\\s'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN array_to_string(list_transform(regexp_extract_all(w, '[A-Za-z0-9][A-Za-z0-9_.:/+#-]*|[^A-Za-z0-9]'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') AND regexp_matches(t, '[A-Za-z]') THEN '' ELSE t END), '') ELSE w END), ' '), '[^\\p{Latin}]', '', 'g')) AS latin FROM documents)
+    SELECT doc_id, CASE WHEN cjk >= 40 AND latin >= 80 AND least(cjk, latin) / greatest(cjk, latin) >= 0.2 THEN 'mixed' WHEN cjk >= greatest(20, latin) THEN 'zh' WHEN latin >= greatest(40, cjk) THEN 'latin'
+      WHEN cjk > 0 OR latin > 0 THEN 'uncertain' ELSE 'unknown' END AS language FROM c""")
+def op_language_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", X.estimate_language(F.col("text")).alias("language"))
+
+
+@query("""SELECT doc_id, CAST(length(regexp_replace(text, '\\s+', '', 'g')) AS BIGINT) AS nonspace_chars,
+    CAST(len(list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g')) <> '')) AS BIGINT) AS paragraphs FROM documents""")
+def op_static_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", X.visible_length(F.col("text")).alias("nonspace_chars"), X.paragraphs(F.col("text")).alias("paragraphs"))
+
+
+@query()
+def op_hard_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.static_profile(read(spark, sf_dir, "documents")).select("doc_id", "language", F.size("tokens").alias("n_tokens"), F.array_join(X.by_length(F.col("tokens")), "、").alias("preview"), F.array_join("headings", "、").alias("headings"))
+
+
+@query("""WITH d AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '[0-9]+'))) AS t FROM documents),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.t AS ta, b.t AS tb FROM d a JOIN d b ON b.doc_id = a.doc_id + 1)
+    SELECT a, b, array_to_string(list_sort(list_filter(ta, lambda x: NOT list_contains(tb, x))), ',') AS only_a, array_to_string(list_sort(list_filter(tb, lambda x: NOT list_contains(ta, x))), ',') AS only_b FROM p""")
+def op_token_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+"), 0)).alias("t"))
+    a, b = d.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), d.select(F.col("doc_id").alias("b"), F.col("t").alias("tb"))
+    p = a.join(b, F.col("b") == F.col("a") + 1)
+    return p.select("a", "b", F.array_join(F.array_sort(F.array_except("ta", "tb")), ",").alias("only_a"), F.array_join(F.array_sort(F.array_except("tb", "ta")), ",").alias("only_b"))
+
+
+@query()
+def op_profile_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    pairs = docs.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
+    out = T.profile_difference(pairs, T.static_profile(docs))
+    return out.select("a", "b", "language_a", "language_b", "length_ratio", F.array_join("only_a", "、").alias("only_a"), F.array_join("only_b", "、").alias("only_b"))
+
+
+@query("""WITH b AS (SELECT item_id, regexp_replace(lower(text), '[^a-z0-9äöüßéèêçñóíáúàâîôûëïÿœæ]+', '', 'g') AS t FROM benchmark),
+    g AS (SELECT item_id, list_distinct(list_transform(range(1, greatest(length(t), 2)), lambda i: substr(t, CAST(i AS BIGINT), 2))) AS g FROM b)
+    SELECT x.item_id AS a, y.item_id AS b, round(2.0 * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)), 9) AS dice FROM g x JOIN g y ON y.item_id = x.item_id + 1""")
+def op_similarity_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = read(spark, sf_dir, "benchmark").select("item_id", X.shifted_pairs(similarity.normalised(F.col("text"))).alias("g"))
+    a, b = g.select(F.col("item_id").alias("a"), F.col("g").alias("ga")), g.select(F.col("item_id").alias("b"), F.col("g").alias("gb"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(X.dice(F.col("ga"), F.col("gb")), 9).alias("dice"))
+
+
+@query()
+def op_similarity_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = read(spark, sf_dir, "benchmark")
+    a, b = t.select(F.col("item_id").alias("a"), F.col("text").alias("ta")), t.select(F.col("item_id").alias("b"), F.col("text").alias("tb"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", similarity.similarity(F.col("ta"), F.col("tb")).alias("similarity"))
+
+
+# ---------------------------------------------------------------- overview and lists
+
+
+@query(f"""WITH {TASKS_SQL} SELECT count(*) AS total, count(DISTINCT owner) AS users, count(*) FILTER (task_type = '1-URGENT') AS type_0, count(*) FILTER (task_type = '2-HIGH') AS type_1, count(*) FILTER (task_type = '3-MEDIUM') AS type_2,
+    count(*) FILTER (task_type = '4-NOT SPECIFIED') AS type_3, count(*) FILTER (task_type = '5-LOW') AS type_4, count(*) FILTER (status = 'queued') AS status_queued, count(*) FILTER (status = 'running') AS status_running, count(*) FILTER (status = 'completed') AS status_completed
+    FROM tasks WHERE created_at >= TIMESTAMP '1996-01-01' AND created_at < TIMESTAMP '1999-01-01'""")
+def op_overview_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tasks(spark, sf_dir)
+    t = t.filter(O.in_days(F.col("created_at"), F.lit("1996-01-01").cast("date"), F.lit("1998-12-31").cast("date")))
+    return O.overview(t, ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], ["queued", "running", "completed"])
+
+
+@query(f"""WITH {TASKS_SQL} SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS total, count(DISTINCT owner) AS users, count(*) FILTER (status = 'queued') AS status_queued, count(*) FILTER (status = 'completed') AS status_completed
+    FROM tasks GROUP BY 1 ORDER BY day DESC LIMIT 30""")
+def op_daily_trend_top30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.daily_trend(tasks(spark, sf_dir), ["queued", "completed"])
+
+
+@query(f"WITH {TASKS_SQL} SELECT owner, count(*) AS total, max(created_at) AS last_at FROM tasks GROUP BY owner ORDER BY total DESC, last_at DESC, owner LIMIT 10")
+def op_user_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.top_owners(tasks(spark, sf_dir))
+
+
+@query(f"WITH {TASKS_SQL} SELECT task_type, count(*) AS total, count(*) FILTER (status = 'queued') AS status_queued, count(*) FILTER (status = 'running') AS status_running, count(*) FILTER (status = 'failed') AS status_failed FROM tasks GROUP BY task_type")
+def op_status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.status_histogram(tasks(spark, sf_dir), ["queued", "running", "failed"], ["task_type"])
+
+
+@query(f"""WITH {TASKS_SQL}, named AS (SELECT 'user:' || CAST(c_custkey AS VARCHAR) AS owner, c_name AS name FROM customer), owners AS (SELECT owner FROM tasks UNION SELECT owner FROM named),
+    per AS (SELECT owner, count(*) AS n, max(created_at) AS last_at FROM tasks GROUP BY owner)
+    SELECT owner, name, CAST(coalesce(n, 0) AS BIGINT) AS tasks, last_at FROM owners LEFT JOIN named USING (owner) LEFT JOIN per USING (owner)""")
+def op_known_owner_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = read(spark, sf_dir, "customer").select(F.concat(F.lit("user:"), F.col("c_custkey").cast("string")).alias("owner"), F.col("c_name").alias("name"))
+    return O.known_owners(tasks(spark, sf_dir), named)
+
+
+@query(f"WITH {TASKS_SQL} SELECT task_id, owner, created_at FROM tasks WHERE task_type ILIKE '%urg%' OR owner ILIKE '%R:12%' ORDER BY created_at DESC, task_id DESC LIMIT 25 OFFSET 50")
+def op_paged_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tasks(spark, sf_dir).filter(F.col("task_type").ilike("%urg%") | F.col("owner").ilike("%R:12%")).select("task_id", "owner", "created_at")
+    return O.page_of(found, [F.desc("created_at"), F.desc("task_id")], 3, 25)
+
+
+@query("SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'ip:' || CAST(o_custkey % 256 AS VARCHAR) ELSE 'user:' || CAST(o_custkey AS VARCHAR) END AS owner, count(*) AS n FROM orders GROUP BY 1")
+def op_effective_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    owner = F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("user:"), F.col("o_custkey").cast("string")))
+    return o.groupBy(O.effective_owner(owner, (F.col("o_custkey") % 256).cast("string")).alias("owner")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT o_orderkey AS task_id, coalesce(nullif(CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE c_name END, ''), nullif(c_mktsegment, ''), '') AS display FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
+def op_display_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    return o.select(F.col("o_orderkey").alias("task_id"), V.first_text(F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.col("c_name")), F.col("c_mktsegment")).alias("display"))
+
+
+@query("SELECT event_type, concat_ws(':', CAST(count(*) AS VARCHAR), CAST(sum(event_id) AS VARCHAR), strftime(max(ts), '%Y-%m-%d %H:%M:%S')) AS version FROM events GROUP BY event_type")
+def op_rule_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").withColumn("at", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return O.rule_version(e, "event_type", "event_id", "at")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'F')")
+def op_orphans_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = read(spark, sf_dir, "orders").filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return O.orphans(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), kept, "l_orderkey")
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderstatus = 'P' AS flag FROM orders o WHERE o_orderstatus <> 'P' OR NOT EXISTS (SELECT 1 FROM orders t WHERE t.o_custkey = o.o_custkey AND t.o_orderpriority = o.o_orderpriority AND t.o_orderstatus <> 'P')")
+def op_twin_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", (F.col("o_orderstatus") == "P").alias("flag"))
+    return O.without_twins(o, ["o_custkey", "o_orderpriority"], "flag").select("o_custkey", "o_orderkey", "flag")
+
+
+# ---------------------------------------------------------------- report items
+
+
+@query(f"WITH {ITEMS_SQL} SELECT task_id, code, count(*) FILTER (type = 'issue') AS issue, count(*) FILTER (type = 'suggestion') AS suggestion, count(*) FILTER (type = 'non_issue') AS non_issue, count(*) FILTER (type = 'issue' AND acceptance = 'accepted') AS accepted_issue, count(*) FILTER (type = 'issue' AND acceptance = 'rejected') AS rejected_issue, CAST(0 AS BIGINT) AS pending_issue_acceptance FROM items GROUP BY task_id, code")
+def op_item_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.counts(items(spark, sf_dir))
+
+
+@query(f"""WITH {ITEMS_SQL}, c AS (SELECT code, count(*) AS total, count(*) FILTER (type = 'issue') AS issue, count(*) FILTER (type = 'issue' AND acceptance = 'accepted') AS a, count(*) FILTER (type = 'issue' AND acceptance = 'rejected') AS r FROM items GROUP BY code)
+    SELECT code, total, CASE WHEN total <= 0 THEN '-' ELSE printf('%.1f', issue / total * 100) || '%' END AS issue_detection_rate, CASE WHEN a + r <= 0 THEN '-' ELSE printf('%.1f', a / (a + r) * 100) || '%' END AS issue_acceptance_rate FROM c""")
+def op_item_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.with_rates(R.counts(items(spark, sf_dir), ("code",))).select("code", "total", "issue_detection_rate", "issue_acceptance_rate")
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT task_id, code, type, category, description, min(idx) AS idx, count(*) AS merged, min_by(severity, {CONFIDENCE_RANK} * 1000000000000 + {SEVERITY_RANK} * 100000000000 + idx) AS severity,
+    min_by(confidence, {CONFIDENCE_RANK} * 1000000000000 + {SEVERITY_RANK} * 100000000000 + idx) AS confidence FROM items GROUP BY task_id, code, type, category, description""")
+def op_item_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.deduplicate(items(spark, sf_dir)).select("task_id", "code", "type", "category", "description", "idx", "merged", "severity", "confidence")
+
+
+@query(f"WITH {ITEMS_SQL} SELECT task_id, code, idx, type, row_number() OVER (PARTITION BY task_id ORDER BY {TYPE_RANK}, {CONFIDENCE_RANK}, {SEVERITY_RANK}, idx, code) AS rank FROM items")
+def op_item_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = items(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("task_id").orderBy(*R.priority(), "code")).cast("long"))
+    return ranked.select("task_id", "code", "idx", "type", "rank")
+
+
+@query(f"""WITH {ITEMS_SQL}, r AS (SELECT task_id, code, idx, type, row_number() OVER (PARTITION BY code ORDER BY {TYPE_RANK}, {CONFIDENCE_RANK}, {SEVERITY_RANK}, idx, task_id) AS rank FROM items)
+    SELECT task_id, code, idx, type, rank FROM r WHERE rank <= 30""")
+def op_item_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = items(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy(*R.priority(), "task_id")))
+    return R.limit_items(ranked, 100).select("task_id", "code", "idx", "type", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {ITEMS_SQL} SELECT task_id, code, idx, substr(sha1(code || chr(10) || CAST(idx AS VARCHAR) || chr(10) || description), 1, 16) AS id FROM items")
+def op_item_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items(spark, sf_dir).select("task_id", "code", "idx", V.item_id(F.col("code"), F.col("idx"), F.col("description")).alias("id"))
+
+
+@query("""SELECT doc_id, sha256('{"check_code":"' || source || '","description":"' || regexp_replace(lang, '[^a-z]', '', 'g') || '","task_type":"document"}') AS fingerprint FROM documents""")
+def op_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", V.rule_fingerprint(F.lit("document"), F.col("source"), F.col("lang")).alias("fingerprint"))
+
+
+@query(f"""WITH {ITEMS_SQL}, ev AS (SELECT task_id, code, idx, CASE WHEN idx % 3 = 0 THEN 'non_issue' END AS item_type, CASE idx % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' WHEN 2 THEN 'pending' ELSE 'accepted' END AS acc FROM items WHERE idx % 2 = 0 OR idx % 4 = 3)
+    SELECT i.task_id, i.code, count(*) FILTER (coalesce(CASE WHEN e.acc IN ('accepted', 'rejected') THEN e.item_type END, i.type) = 'issue') AS issues, count(*) FILTER (e.acc = 'accepted') AS accepted
+    FROM items i LEFT JOIN ev e ON e.task_id = i.task_id AND e.code = i.code AND e.idx = i.idx GROUP BY i.task_id, i.code""")
+def op_review_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    it = items(spark, sf_dir).withColumn("id", F.col("idx").cast("string")).drop("acceptance")
+    events = it.filter("idx % 2 = 0 or idx % 4 = 3").select(
+        "task_id",
+        "code",
+        F.col("id").alias("item_id"),
+        F.when(F.col("idx") % 3 == 0, "non_issue").alias("item_type"),
+        F.when(F.col("idx") % 4 == 2, "pending").when(F.col("idx") % 4 == 1, "rejected").otherwise("accepted").alias("acceptance"),
+        F.lit("false_positive").alias("rejection_reason"),
+        F.lit("").alias("rejection_note"),
+        F.lit(1).alias("seq"),
+    )
+    seen = R.overlay_reviews(it, R.latest_reviews(events))
+    return seen.groupBy("task_id", "code").agg(F.count_if(F.col("type") == "issue").alias("issues"), F.count_if(F.col("acceptance") == "accepted").alias("accepted"))
+
+
+@query()
+def op_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = read(spark, sf_dir, "benchmark")
+    rules = b.filter("item_id % 7 = 0").select(F.col("item_id").alias("id"), F.lit("document").alias("task_type"), F.concat(F.lit("c"), (F.col("item_id") % 2).cast("string")).alias("check_code"), F.col("text").alias("description"), F.lit(True).alias("enabled"))
+    its = b.select(F.col("item_id"), F.lit("document").alias("task_type"), F.concat(F.lit("c"), (F.col("item_id") % 2).cast("string")).alias("code"), F.col("text").alias("description"), F.lit("").alias("text"))
+    return R.suppress(its, rules).select("item_id", "rule_id", F.round("similarity", 9).alias("similarity"))
+
+
+# ---------------------------------------------------------------- queue and tables
+
+
+@query(f"""WITH {TASKS_SQL}, q AS (SELECT task_id, owner, created_at FROM tasks WHERE status = 'queued' ORDER BY created_at, task_id LIMIT 50), busy AS (SELECT owner, count(*) AS busy FROM tasks WHERE status = 'running' GROUP BY owner),
+    n AS (SELECT q.*, row_number() OVER (PARTITION BY q.owner ORDER BY created_at, task_id) AS nth, coalesce(busy, 0) AS busy FROM q LEFT JOIN busy USING (owner)),
+    p AS (SELECT task_id, owner, row_number() OVER (ORDER BY created_at, task_id) AS place FROM n WHERE nth + busy <= 6)
+    SELECT task_id, owner, place FROM p WHERE place <= 1000000 - (SELECT count(*) FROM tasks WHERE status = 'running')""")
+def op_queue_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.claims(tasks(spark, sf_dir), user_limit=6, global_limit=1_000_000).withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"""WITH {TASKS_SQL} SELECT task_id, CASE WHEN status = 'running' AND created_at <= TIMESTAMP '1998-01-01' THEN 'queued' ELSE status END AS status, CASE WHEN status = 'running' AND created_at <= TIMESTAMP '1998-01-01' THEN 0 ELSE 40 END AS progress FROM tasks""")
+def op_lease_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tasks(spark, sf_dir).withColumns({"claim_token": F.lit("t"), "lease_expires_at": F.col("created_at"), "progress": F.lit(40)})
+    return O.recover_leases(t, F.lit("1998-01-01").cast(t.schema["created_at"].dataType)).select("task_id", "status", "progress")
+
+
+@query(f"""WITH {TASKS_SQL} SELECT task_id, created_at AS ended_at FROM tasks WHERE status = 'completed' AND created_at < TIMESTAMP '1999-01-01' - INTERVAL 30 DAY ORDER BY created_at, task_id LIMIT 100""")
+def op_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("timestamp")
+    t = tasks(spark, sf_dir).withColumns({"finished_at": none, "updated_at": none, "cleaned_at": none})
+    return O.expired(t, F.lit("1999-01-01").cast(t.schema["created_at"].dataType), 30).select("task_id", "ended_at")
+
+
+@query("SELECT l_orderkey AS task_id, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey")
+def op_stats_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached rows of even tasks are valid, those of tasks divisible by six are of an older rule set."""
+    li = read(spark, sf_dir, "lineitem")
+    t = tasks(spark, sf_dir).join(li.select(F.col("l_orderkey").alias("task_id")).distinct(), "task_id", "left_semi").select("task_id", F.col("created_at").alias("updated_at"), F.lit("v2").alias("rule_version"))
+
+    def compute(some: DataFrame) -> DataFrame:
+        sums = li.groupBy(F.col("l_orderkey").alias("task_id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("total"))
+        return some.join(sums, "task_id").select("task_id", F.col("updated_at").alias("source_updated_at"), "rule_version", "n", "total")
+
+    cached = compute(t.filter("task_id % 2 = 0")).withColumn("rule_version", F.when(F.col("task_id") % 6 == 0, "v1").otherwise(F.col("rule_version")))
+    return O.refresh_stats(t, cached, compute).select("task_id", "n", "total")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 AND c_mktsegment <> '' THEN c_mktsegment ELSE 'new' END AS note, CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE c_name END AS name FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""")
+def op_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    old = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("note"), F.col("c_name").alias("name"))
+    new = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.lit("new").alias("note"), F.lit("x").alias("name"))
+    return O.upsert(old, new, ["id"], keep_filled=("note",))
+
+
+@query("SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+def op_insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = read(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"))
+    return O.insert_absent(old, read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), ["id"])
+
+
+@query("""WITH r AS (SELECT event_id, user_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id % 97 AS VARCHAR) END AS token FROM events),
+    n AS (SELECT *, row_number() OVER (PARTITION BY user_id, token ORDER BY event_id) AS k FROM r) SELECT event_id, user_id, token FROM n WHERE token IS NULL OR k = 1""")
+def op_submit_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 5 != 0, (F.col("event_id") % 97).cast("string")).alias("token"))
+    return O.submit_once(e, ["user_id", "token"], ["event_id"])
+
+
+@query("SELECT source, doc_id, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 4) AS BIGINT) AS batch FROM documents")
+def op_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.batches(read(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"], 4)
+
+
+@query("SELECT DISTINCT l_orderkey AS task_id, 'check_' || CAST(l_suppkey % 5 AS VARCHAR) AS code FROM lineitem EXCEPT SELECT l_orderkey, 'check_' || CAST(l_suppkey % 5 AS VARCHAR) FROM lineitem WHERE l_returnflag <> 'N'")
+def op_missing_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    it = items(spark, sf_dir)
+    return O.missing_codes(it, it.filter("type <> 'non_issue'"), ["task_id", "code"])
+
+
+@query("SELECT n_nationkey AS id, CAST(row_number() OVER (ORDER BY CASE n_nationkey WHEN 7 THEN 1 WHEN 3 THEN 2 ELSE 99 END, n_regionkey, n_nationkey) * 10 AS BIGINT) AS place FROM nation")
+def op_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("place"))
+    return O.reorder(n, [7, 3], "id", "place")
+
+
+# ---------------------------------------------------------------- sampling, values, streams
+
+
+@query()
+def op_page_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", (F.length("text") / 40).cast("int").alias("total"))
+    candidates = F.array(*[(F.col("doc_id") * k % 50 + 1).cast("int") for k in (3, 7, 11)])
+    return docs.select("doc_id", "total", F.array_join(sampling.sampled_pages(F.col("total"), F.lit(12), candidates).cast("array<string>"), ",").alias("pages"))
+
+
+@query()
+def op_time_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select("event_id", F.col("value").alias("seconds"))
+    return e.select("event_id", F.array_join(sampling.sampled_times(F.col("seconds"), F.lit(16)).cast("array<string>"), ",").alias("moments"), V.media_time(F.col("seconds")).alias("label"))
+
+
+@query("""SELECT event_id, printf('%.1f', value / 1024) || ' KB' AS size, CASE WHEN value <= 0 THEN '无法计算' ELSE printf('%.2f', 7 / value) END AS ratio, least(greatest(CAST(floor(value) AS BIGINT), 5), 60) AS bounded,
+    lower(json_extract_string(props, '$.k')) AS k FROM events""")
+def op_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    return e.select("event_id", V.kilobytes(F.col("value")).alias("size"), V.ratio_label(F.lit(7), F.col("value")).alias("ratio"), V.clamped(F.floor("value"), 5, 60, 30).alias("bounded"), F.lower(F.get_json_object("props", "$.k")).alias("k"))
+
+
+@query("SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS chars, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) > 2000 AS over_budget FROM conversations")
+def op_stream_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "conversations")
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, 0))
+    return c.select("conv_id", "turn", so_far.alias("chars"), (so_far > 2000).alias("over_budget"))
+
+
+@query()
+def op_repeat_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", guards.repeated_tail(F.col("text")).alias("repeats"))
