@@ -341,6 +341,8 @@ def find_repeats(keyed: DataFrame, group: int = GROUP) -> DataFrame:
     null mask means all windows of the stretch."""
     rows = _stretch_rows(keyed)
     anchors = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("content") != F.max("content")).alias("mixed")).filter("n > 1").select("anchor", "mixed")
+    # A table of its own: the join then has a plain exchange on both sides, and Spark can split a very common anchor.
+    anchors = persist_table(anchors, "repeats-anchors")
     held = persist_table(rows.join(anchors, "anchor"), "repeats-stretches")
     mixed = held.filter("mixed")
     distinct = mixed.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "first", "off", "run")).alias("at"))
