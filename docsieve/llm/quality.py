@@ -234,29 +234,29 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
 
 def score(docs: DataFrame, vectors: np.ndarray, network: Network, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` (all columns) with _q_score and _q_predicted."""
+    """``row`` (a struct of all columns of ``docs``), _q_score and _q_predicted."""
     held = docs.sparkSession.sparkContext.broadcast((vectors, network))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_q_score", T.DoubleType()), T.StructField("_q_predicted", T.IntegerType())])
-    at = docs.columns.index("text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("_q_score", T.DoubleType()), T.StructField("_q_predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, (v, net) = Units(), held.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
+            texts = [t or "" for t in batch.column(0).field("text").to_pylist()]
             parts = [net.score(pool(*units.of(texts[s]), v)) for s in _groups([len(t) for t in texts], 2_000_000)] if texts else []
             p = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names, "_q_score", "_q_predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=["row", "_q_score", "_q_predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     slim = docs.select("doc_id", "text")
-    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
-    return score(slim, *train(slim, labels)).select("doc_id", held_out.alias("held_out"), F.col("_q_score").alias("score"), F.col("_q_predicted").alias("predicted"))
+    held_out = F.coalesce(remainder(F.col("row.doc_id"), 5) == 0, F.lit(False))
+    return score(slim, *train(slim, labels)).select("row.doc_id", held_out.alias("held_out"), F.col("_q_score").alias("score"), F.col("_q_predicted").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents the classifier accepts, with all their columns."""
-    return score(docs, *train(docs, labels)).filter("_q_predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return score(docs, *train(docs, labels)).filter("_q_predicted = 1").select(*[F.col(f"row.`{c}`") for c in docs.columns])
