@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from docsieve.llm.common import whole_text
 from docsieve.llm.token_count import _groups
 
-MARK, LITERAL_MARK = "▁", "﷐"  # a mark of the text itself travels as a noncharacter
+MARK, LITERAL_MARK = "▁", "\udc00"  # a mark of the text itself travels as a lone surrogate, which no valid text holds
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 POWER, MOST_EDGES = 1.0, 4_000_000
 
