@@ -13,7 +13,8 @@ Everything here is DataFrame code.
 4. Every document looks its hash up. Only where texts collide does the lookup compare the text as well.
 
 Defined results: null text counts as empty; a null doc_id never becomes keep_id unless all ids of the group are null;
-rows that repeat one (doc_id, text) are one document, all of them carry the same answer; an empty table gives none.
+rows that repeat one (doc_id, text) are one document, all of them carry the same answer, but ``drop_copies`` returns one
+row of each text; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -107,5 +108,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    return mark_copies(docs, id_col, text_col).filter("_xd_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group of equal texts, with all its columns.
+
+    Several rows of a group can carry its keep_id (repeated rows, or no id in the whole group). Of these the one with the
+    largest text before lower-casing stays; only rows that have copies are shuffled for that.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = mark_copies(docs, id_col, text_col).filter("_xd_kept")
+    kept = persist_table(marked.select(F.struct(*columns).alias("_xd_row"), whole_text(text_col).alias("_xd_text"), "_xd_sha256", "_xd_group_size"), "dedup-kept")
+    copied = kept.filter("_xd_group_size > 1").groupBy("_xd_sha256").agg(F.max_by("_xd_row", "_xd_text").alias("_xd_row"))
+    return kept.filter("_xd_group_size = 1").select("_xd_row").unionByName(copied.select("_xd_row")).select("_xd_row.*")

@@ -25,3 +25,15 @@ def test_stages_keep_the_columns(spark, edge_docs, no_docs, sf_dir):
             d = stage(spark, d, sf_dir)
             assert d.columns == start.columns
         corpus_pipeline.STAGES[-1][1](spark, d, sf_dir).count()
+
+
+def test_one_row_of_each_text_stays(spark):
+    """Repeated rows and groups without any id must not reach the suffix stage as documents that repeat each other."""
+    body = {k: " ".join(f"{k}{n * 7919 % 1000}" for n in range(120)) for k in "abcd"}
+    rows = [(1, body["a"]), (1, body["a"]), (None, body["b"]), (None, body["b"]), (2, body["c"]), (3, body["c"].upper()), (3, body["c"]), (None, body["c"]), (4, body["d"])]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, `a.b` string")
+    left = corpus_pipeline.exact_copies(spark, docs, "")
+    assert left.columns == docs.columns
+    left = corpus_pipeline.near_copies(spark, left, "")
+    left = corpus_pipeline.repeated_passages(spark, left, "")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == sorted([("1", body["a"]), ("None", body["b"]), ("3", body["c"]), ("4", body["d"])])
