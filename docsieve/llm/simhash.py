@@ -79,12 +79,17 @@ def hamming_links(fps: DataFrame) -> DataFrame:
     return probes.join(offers, "key").filter((F.col("a") < F.col("b")) & budget).select("a", "b")
 
 
+def _components(nodes: DataFrame) -> DataFrame:
+    """Distinct fingerprints (fp) -> (fp, root): the smallest fingerprint reachable over links."""
+    roots = connected_components(hamming_links(nodes.select("fp")))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fp (long), component_id (the smallest id reachable over links)."""
     fps = persist_table(docs.select(F.col(id_col).alias("doc_id"), simhash_udf(F.coalesce(F.col(text_col), F.lit(""))).alias("fp")), "simhash")
     nodes = persist_table(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    roots = connected_components(hamming_links(nodes.select("fp")))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    placed = _components(nodes)
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     members = placed.join(smallest, "root").select("fp", "component_id")
     return fps.join(members, "fp").select("doc_id", "fp", "component_id")
@@ -95,6 +100,14 @@ def fingerprint_hex(fp: Column) -> Column:
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each group, with all its columns (rows without an id stay)."""
-    dropped = near_duplicates(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("_nd_id")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("_nd_id"), "left_anti")
+    """One document of each group, with all its columns: the one with the smallest id, one without an id only if no other has any.
+
+    Rows are told apart by a key of their own, which is written with them, since ids may repeat.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    fp = simhash_udf(F.coalesce(F.col(text_col), F.lit("")))
+    rows = persist_table(docs.select(F.struct(*columns).alias("_nd_row"), F.col(id_col).alias("_nd_id"), fp.alias("fp"), F.monotonically_increasing_id().alias("_nd_key")), "simhash-rows")
+    first = F.min(F.struct(F.col("_nd_id").isNull().alias("no_id"), F.col("_nd_id").alias("id"), F.col("_nd_key").alias("key")))
+    nodes = persist_table(rows.groupBy("fp").agg(first.alias("first")), "simhash-nodes")
+    kept = _components(nodes).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_nd_key"))
+    return rows.join(kept, "_nd_key").select("_nd_row.*")

@@ -43,3 +43,13 @@ def test_edges(edge_docs, no_docs):
     kept = simhash.keep_one_per_group(edge_docs)
     assert kept.columns == edge_docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {c for _, c in want.values()} | {None}
+
+
+def test_one_row_of_each_component_stays(spark):
+    """An id that two components share must not take the last document of one of them away."""
+    text = {k: " ".join(f"{k}{n * 7919 % 1000}" for n in range(60)) for k in "abc"}
+    rows = [(1, text["a"]), (2, text["a"]), (2, text["b"]), (3, text["b"]), (1, text["b"]), (None, text["c"]), (None, text["c"]), (None, text["a"])]
+    kept = simhash.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((str(r["doc_id"]), r["text"][0]) for r in kept.collect()) == [("1", "a"), ("1", "b"), ("None", "c")]
+    two = spark.createDataFrame([(1, text["a"]), (2, text["a"]), (2, text["b"])], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"][0]) for r in simhash.keep_one_per_group(two).collect()) == [(1, "a"), (2, "b")]
