@@ -40,7 +40,10 @@ HINTS = frozenset(
     "pagination pager contentinfo complementary skip paywall masthead topbar".split()
 )
 ARTICLE_HINTS = frozenset("articlebody article-body article-content article-text post-body post-content entry-content story-body main-content maincontent".split())
-_NEGATED = re.compile(r"^(?:has|with|no|without|is)[-_]")
+#: Tokens that speak of a post's subject or state, or of a page's layout, not of the element's own part in the page.
+_NO_HINT = re.compile(r"(?:^|[-_])(?:has|with|no|without|is)[-_]|^(?:category|tag|layout)[-_]|[-_](?:open|closed|wrap|wrapper|container|layout)$")
+#: How sure a boilerplate mark is: a hint somewhere in a token, a hint as its head noun, the tag itself or a hidden element.
+WEAK, STRONG, SURE = 1, 2, 3
 WORD = re.compile(r"\w+")
 
 # Labelled blocks: words, link density, words and link density before, the same after, boilerplate place, article place, keep.
@@ -110,33 +113,44 @@ def trained_tree() -> Tree:
     return Tree(LABELLED[:, :-1], LABELLED[:, -1])
 
 
-def _place(tag: str, rest: str, in_article: bool) -> tuple[bool, bool]:
-    """(starts boilerplate, starts the article) of an opening tag."""
-    boiler = tag in BOILER_TAGS or (tag == "header" and not in_article)
+def _place(tag: str, rest: str, in_article: bool) -> tuple[int, bool]:
+    """(how surely it starts boilerplate, starts the article) of an opening tag."""
+    boiler = SURE if tag in BOILER_TAGS or (tag == "header" and not in_article) else 0
     article = tag in ("article", "main")
     if rest and tag not in ("html", "body", "main"):
         for name, a, b, c in NAMED.findall(rest):
             name, value = name.lower(), (a or b or c).lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                boiler = True
+                boiler = SURE
             elif name == "style":
-                boiler |= "display:none" in value.replace(" ", "")
+                boiler = SURE if "display:none" in value.replace(" ", "") else boiler
             elif name in ("class", "id", "role", "itemprop"):
                 for token in value.split():
                     if token in ARTICLE_HINTS:
                         article = True
-                    elif not _NEGATED.match(token) and (not in_article or token not in ("header", "masthead")):
-                        parts = set(re.split(r"[-_]+", token))
-                        boiler |= bool(parts & HINTS) or (token == "header" and tag != "article")
+                    elif token in HINTS or (token == "header" and tag != "article"):
+                        if not in_article or token not in ("header", "masthead"):
+                            boiler = max(boiler, STRONG)
+                    elif tag != "article" and not _NO_HINT.search(token):
+                        parts = re.split(r"[-_]+", token)
+                        if parts[-1] in HINTS:
+                            boiler = max(boiler, STRONG)
+                        elif not HINTS.isdisjoint(parts):
+                            boiler = max(boiler, WEAK)
     return boiler, article
 
 
+def _inherited(tag: str, article: bool, outer: int) -> int:
+    """The outer boilerplate mark as far as it holds here: an article ends a weak one, <main> any that comes from a name."""
+    return 0 if outer <= (STRONG if tag == "main" else WEAK if article else 0) else outer
+
+
 def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
     """(text, words, link density, boilerplate place, article place) of the text blocks in page order."""
     out: list[tuple[str, int, float, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article; what is inside inherits
+    stack: list[tuple[str, int, bool]] = []  # tag, boilerplate, article; what is inside inherits
     parts: list[str] = []
-    linked, in_link, place = 0, 0, (False, False)
+    linked, in_link, place = 0, 0, (0, False)
 
     def close() -> None:
         nonlocal linked
@@ -144,7 +158,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             text = " ".join("".join(parts).split())
             if text:
                 words = len(text.split())
-                out.append((text, words, min(1.0, linked / words), *place))
+                out.append((text, words, min(1.0, linked / words), place[0] > 0, place[1]))
             parts.clear()
         linked = 0
 
@@ -174,18 +188,18 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
                     break
                 if stack[k][0] in FRAMES and tag not in FRAMES:
                     break
-            place = stack[-1][1:] if stack else (False, False)
+            place = stack[-1][1:] if stack else (0, False)
             continue
         if tag in ("p", "li", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == tag:
             stack.pop()  # an open one ends where the next begins
-            place = stack[-1][1:] if stack else (False, False)
+            place = stack[-1][1:] if stack else (0, False)
         if tag in VOID or rest.endswith("/"):
             continue
         boiler, article = _place(tag, rest, place[1])
         if tag in FRAMES or boiler or article or tag == "p":
             if tag in INLINE:
                 close()
-            stack.append((tag, place[0] or boiler, place[1] or article))
+            stack.append((tag, max(_inherited(tag, article, place[0]), boiler), place[1] or article))
             place = stack[-1][1:]
     close()
     return out

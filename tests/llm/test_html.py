@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from docsieve.llm import html_blocks, queries
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header class="site-header"><a href="/">Home</a></header>
@@ -34,3 +36,26 @@ def test_query(spark, sf_dir):
 def test_tree_fits_its_table():
     t = html_blocks.LABELLED
     assert (html_blocks.trained_tree().predict(t[:, :-1]) == t[:, -1]).mean() > 0.95
+
+
+BODY = "The harbour was quiet in the early morning, and the first boats came back with little to show for a long night."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article class='post category-legal tag-social comments-open'><p>{BODY}</p></article>",
+        f"<div id='content-sidebar-wrap'><article><p>{BODY}</p></article></div>",
+        f"<div class='layout-sidebar-right'><article><p>{BODY}</p></article></div>",
+        f"<div class='page-with-sidebar'><p>{BODY}</p></div>",
+        f"<div class='right-sidebar'><main><p>{BODY}</p></main></div>",
+        f"<div class='sidebar-left-page'><article><p>{BODY}</p></article></div>",
+    ],
+)
+def test_names_do_not_overrule_the_article(page):
+    assert html_blocks.main_text(page) == BODY
+
+
+def test_names_still_mark_boilerplate():
+    for name in ("sidebar", "cookie-notice", "related-posts", "widget-area", "right-sidebar"):
+        assert html_blocks.main_text(f"<article><p>{BODY}</p></article><div class='{name}'><p>{BODY}</p></div>") == BODY
