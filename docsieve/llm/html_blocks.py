@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|title|textarea|select|button|option|svg|iframe|object|canvas|math|datalist)\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|title|textarea)(?=[\s/>])(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>"
     r"|[^<]+|<",
     re.S | re.I,
 )
+#: Skipped up to their end tag; without one only the tag itself is, since the rest of the page would go with it.
+SKIPPED = {t: re.compile(rf"</{t}\s*>", re.I) for t in "noscript template select button option svg iframe object canvas math datalist".split()}
 NAMED = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 FRAMES = frozenset("div section article main nav header footer aside form ul ol dl table td th tr tbody figure figcaption details dialog fieldset menu body html center blockquote".split())
@@ -162,7 +164,10 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
+    at, endless = 0, set()
+    while at < len(page):
+        m = TOKEN.match(page, at)  # some alternative fits any character
+        at = m.end()
         tag = m.group("tag")
         if tag is None:
             token = m.group()
@@ -173,6 +178,14 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
                     linked += len(text.split())
             continue
         tag, ending, rest = tag.lower(), bool(m.group("end")), m.group("rest")
+        if tag in SKIPPED:
+            if not ending and tag not in endless and not (tag in ("svg", "math") and rest.endswith("/")):
+                end = SKIPPED[tag].search(page, at)
+                if end:
+                    at = end.end()
+                else:
+                    endless.add(tag)
+            continue
         if tag == "a":
             in_link = 0 if ending else 1
         if tag not in INLINE:

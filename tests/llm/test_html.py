@@ -59,3 +59,26 @@ def test_names_do_not_overrule_the_article(page):
 def test_names_still_mark_boilerplate():
     for name in ("sidebar", "cookie-notice", "related-posts", "widget-area", "right-sidebar"):
         assert html_blocks.main_text(f"<article><p>{BODY}</p></article><div class='{name}'><p>{BODY}</p></div>") == BODY
+
+
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<svg class='icon' viewBox='0 0 1 1'/>",
+        "<math/>",
+        "<button-group></button-group>",
+        "<title-bar>",
+        "<template-part></template-part>",
+        "<button>",
+        "<canvas id=c>",
+        "<svg><title>Icon</title><path d='M0 0'/></svg>",
+        "<select><option>One<option>Two</select>",
+        "<noscript>Turn it on.</noscript>",
+    ],
+)
+def test_skipped_elements_end_where_they_end(start):
+    assert html_blocks.main_text(f"<article>{start}<p>{BODY}</p></article>") == BODY
+
+
+def test_scripts_without_an_end_run_to_the_end():
+    assert html_blocks.main_text(f"<article><p>{BODY}</p><script>var a = 1; <p>no</p></article>") == BODY
