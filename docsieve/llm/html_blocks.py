@@ -3,7 +3,7 @@
 A page becomes a flat list of text blocks (cut at block-level tags). A block's features are its word count and link
 density, the same of the blocks before and after it, and two flags of its place: inside a part that announces itself as
 boilerplate (navigation, header, footer, aside, form, or a class, id or role that says so), and inside a part that
-announces the article. A small decision tree, grown on the labelled table below, keeps or drops each block.
+announces the article; a third flag marks the text of a paragraph, heading, list item or cell. A small decision tree, grown on the labelled table below, keeps or drops each block.
 
 Defined results: null and empty pages give an empty text; scripts, styles, comments and form controls never count;
 references are decoded; white space becomes one space; an empty table gives none; repeated rows are done each.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,18 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|title|textarea)(?=[\s/>])(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>"
-    r"|[^<]+|<",
-    re.S | re.I,
-)
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "title", "textarea")}
+STOPS = re.compile(r"[\"'>]")
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Skipped up to their end tag; without one only the tag itself is, since the rest of the page would go with it.
 SKIPPED = {t: re.compile(rf"</{t}\s*>", re.I) for t in "noscript template select button option svg iframe object canvas math datalist".split()}
-NAMED = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 FRAMES = frozenset("div section article main nav header footer aside form ul ol dl table td th tr tbody figure figcaption details dialog fieldset menu body html center blockquote".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog".split())
@@ -41,6 +37,9 @@ HINTS = frozenset(
     "navigation menu breadcrumb breadcrumbs sidebar sidebars aside widget widgets related recommended recommendations share sharing social footer copyright legal disclaimer comment comments commentlist reply replies respond disqus discussion login search toolbar "
     "pagination pager contentinfo complementary skip paywall masthead topbar".split()
 )
+#: Names that a paragraph of an article may well carry: there they say nothing.
+SOFT = frozenset("social search login legal notice notices alert discussion reply replies respond skip banner disclaimer copyright footer menu comment comments topbar pager toolbar share sharing".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption".split())
 ARTICLE_HINTS = frozenset("articlebody article-body article-content article-text post-body post-content entry-content story-body main-content maincontent".split())
 #: Tokens that speak of a post's subject or state, or of a page's layout, not of the element's own part in the page.
 _NO_HINT = re.compile(r"(?:^|[-_])(?:has|with|no|without|is)[-_]|^(?:category|tag|layout)[-_]|[-_](?:open|closed|wrap|wrapper|container|layout)$")
@@ -48,28 +47,31 @@ _NO_HINT = re.compile(r"(?:^|[-_])(?:has|with|no|without|is)[-_]|^(?:category|ta
 WEAK, STRONG, SURE = 1, 2, 3
 WORD = re.compile(r"\w+")
 
-# Labelled blocks: words, link density, words and link density before, the same after, boilerplate place, article place, keep.
+# Labelled blocks: words, link density, words and link density before, the same after, boilerplate place, article place, prose, keep.
 LABELLED = np.array(
     [
-        (3, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0),
-        (12, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0), (60, 0.0, 80, 0.0, 40, 0.0, 1, 0, 0), (35, 0.1, 20, 0.0, 60, 0.0, 1, 1, 0), (8, 0.0, 40, 0.0, 30, 0.0, 1, 1, 0),
-        (10, 0.1, 90, 0.0, 0, 0.0, 1, 0, 0), (120, 0.02, 5, 0.0, 70, 0.0, 1, 1, 0), (4, 0.0, 6, 0.0, 3, 0.0, 1, 0, 0), (25, 0.5, 25, 0.5, 25, 0.5, 1, 0, 0),
-        (9, 0.0, 12, 0.0, 80, 0.0, 0, 1, 1), (70, 0.0, 9, 0.0, 95, 0.0, 0, 1, 1), (2, 0.0, 90, 0.0, 60, 0.0, 0, 1, 1), (1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 1),
-        (1, 0.0, 40, 0.0, 10, 0.1, 0, 1, 1), (200, 0.15, 3, 0.0, 0, 0.0, 0, 1, 1), (15, 0.4, 80, 0.0, 75, 0.0, 0, 1, 1), (3, 1.0, 90, 0.0, 80, 0.0, 0, 1, 1),
-        (5, 1.0, 70, 0.1, 40, 0.0, 0, 1, 1), (4, 0.0, 0, 0.0, 55, 0.0, 0, 1, 1), (6, 0.0, 1, 1.0, 2, 0.0, 0, 1, 1), (3, 0.0, 3, 0.0, 0, 0.0, 0, 1, 1),
-        (4, 1.0, 5, 1.0, 6, 1.0, 0, 1, 0), (6, 1.0, 6, 1.0, 4, 1.0, 0, 1, 0), (3, 1.0, 2, 1.0, 3, 0.9, 0, 1, 0), (5, 0.95, 4, 1.0, 7, 1.0, 0, 1, 0),
-        (80, 0.0, 60, 0.0, 75, 0.0, 0, 0, 1), (45, 0.05, 7, 0.0, 90, 0.0, 0, 0, 1), (28, 0.1, 90, 0.05, 6, 0.8, 0, 0, 1), (18, 0.0, 60, 0.0, 30, 0.0, 0, 0, 1),
-        (5, 0.0, 70, 0.0, 65, 0.0, 0, 0, 1), (2, 0.0, 45, 0.0, 80, 0.0, 0, 0, 1), (7, 0.0, 3, 1.0, 85, 0.0, 0, 0, 1), (9, 0.0, 0, 0.0, 50, 0.0, 0, 0, 1),
-        (22, 0.8, 30, 0.7, 20, 0.9, 0, 0, 0), (40, 0.6, 2, 1.0, 30, 0.7, 0, 0, 0), (15, 0.7, 80, 0.0, 12, 0.8, 0, 0, 0), (4, 0.0, 3, 1.0, 4, 1.0, 0, 0, 0),
-        (6, 0.0, 5, 0.0, 4, 0.5, 0, 0, 0), (3, 0.0, 2, 0.0, 0, 0.0, 0, 0, 0), (8, 0.1, 4, 0.6, 5, 0.0, 0, 0, 0), (5, 0.4, 60, 0.0, 3, 1.0, 0, 0, 0),
-        (40, 0.0, 2, 0.0, 2, 0.0, 0, 0, 1), (60, 0.0, 3, 1.0, 2, 1.0, 0, 0, 1), (30, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (100, 0.1, 4, 1.0, 5, 1.0, 0, 0, 1),
-        (25, 0.0, 2, 0.0, 3, 1.0, 0, 0, 1), (200, 0.0, 1, 1.0, 4, 0.0, 0, 0, 1), (33, 0.2, 5, 0.0, 3, 0.0, 0, 0, 1), (20, 0.0, 8, 1.0, 9, 0.0, 0, 0, 1),
-        (30, 0.0, 2, 0.0, 2, 0.0, 0, 1, 1), (90, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1), (50, 0.0, 60, 0.0, 2, 1.0, 0, 1, 1), (1, 0.0, 30, 0.0, 1, 1.0, 0, 1, 1),
-        (2, 0.0, 1, 1.0, 70, 0.0, 0, 1, 1), (1, 0.0, 12, 0.1, 4, 1.0, 0, 1, 1), (8, 0.0, 3, 1.0, 2, 1.0, 0, 1, 1), (40, 0.0, 4, 1.0, 5, 1.0, 0, 1, 1),
-        (2, 0.0, 1, 1.0, 1, 1.0, 0, 1, 1), (3, 0.5, 20, 0.0, 1, 1.0, 0, 1, 1), (60, 0.3, 2, 1.0, 30, 0.5, 0, 1, 1), (12, 0.9, 80, 0.0, 60, 0.0, 0, 1, 1),
-        (70, 0.0, 90, 0.0, 80, 0.0, 1, 1, 0), (20, 0.0, 90, 0.0, 30, 0.0, 1, 1, 0), (300, 0.0, 30, 0.0, 60, 0.0, 1, 0, 0), (2, 0.0, 90, 0.0, 20, 0.0, 1, 1, 0),
-        (7, 1.0, 50, 0.0, 40, 0.0, 1, 1, 0), (15, 0.0, 0, 0.0, 80, 0.0, 1, 0, 0), (1, 1.0, 4, 0.0, 1, 1.0, 0, 0, 0), (3, 1.0, 1, 1.0, 60, 0.0, 0, 0, 0),
-        (4, 0.5, 6, 0.4, 90, 0.0, 0, 0, 0), (12, 1.0, 60, 0.0, 50, 0.0, 0, 0, 0), (3, 0.0, 80, 0.0, 2, 0.0, 0, 0, 0), (6, 0.3, 70, 0.0, 0, 0.0, 0, 0, 0),
+        (3, 1.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0),
+        (12, 0.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0), (60, 0.0, 80, 0.0, 40, 0.0, 1, 0, 0, 0), (35, 0.1, 20, 0.0, 60, 0.0, 1, 1, 1, 0), (8, 0.0, 40, 0.0, 30, 0.0, 1, 1, 0, 0),
+        (10, 0.1, 90, 0.0, 0, 0.0, 1, 0, 1, 0), (120, 0.02, 5, 0.0, 70, 0.0, 1, 1, 0, 0), (4, 0.0, 6, 0.0, 3, 0.0, 1, 0, 1, 0), (25, 0.5, 25, 0.5, 25, 0.5, 1, 0, 0, 0),
+        (9, 0.0, 12, 0.0, 80, 0.0, 0, 1, 1, 1), (70, 0.0, 9, 0.0, 95, 0.0, 0, 1, 1, 1), (2, 0.0, 90, 0.0, 60, 0.0, 0, 1, 1, 1), (1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 1, 1),
+        (1, 0.0, 40, 0.0, 10, 0.1, 0, 1, 1, 1), (200, 0.15, 3, 0.0, 0, 0.0, 0, 1, 1, 1), (15, 0.4, 80, 0.0, 75, 0.0, 0, 1, 1, 1), (3, 1.0, 90, 0.0, 80, 0.0, 0, 1, 1, 1),
+        (5, 1.0, 70, 0.1, 40, 0.0, 0, 1, 1, 1), (4, 0.0, 0, 0.0, 55, 0.0, 0, 1, 1, 1), (6, 0.0, 1, 1.0, 2, 0.0, 0, 1, 1, 1), (3, 0.0, 3, 0.0, 0, 0.0, 0, 1, 1, 1),
+        (4, 1.0, 5, 1.0, 6, 1.0, 0, 1, 0, 0), (6, 1.0, 6, 1.0, 4, 1.0, 0, 1, 0, 0), (3, 1.0, 2, 1.0, 3, 0.9, 0, 1, 0, 0), (5, 0.95, 4, 1.0, 7, 1.0, 0, 1, 0, 0),
+        (80, 0.0, 60, 0.0, 75, 0.0, 0, 0, 1, 1), (45, 0.05, 7, 0.0, 90, 0.0, 0, 0, 1, 1), (28, 0.1, 90, 0.05, 6, 0.8, 0, 0, 1, 1), (18, 0.0, 60, 0.0, 30, 0.0, 0, 0, 1, 1),
+        (5, 0.0, 70, 0.0, 65, 0.0, 0, 0, 1, 1), (2, 0.0, 45, 0.0, 80, 0.0, 0, 0, 1, 1), (7, 0.0, 3, 1.0, 85, 0.0, 0, 0, 1, 1), (9, 0.0, 0, 0.0, 50, 0.0, 0, 0, 1, 1),
+        (22, 0.8, 30, 0.7, 20, 0.9, 0, 0, 0, 0), (40, 0.6, 2, 1.0, 30, 0.7, 0, 0, 0, 0), (15, 0.7, 80, 0.0, 12, 0.8, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 4, 1.0, 0, 0, 0, 0),
+        (6, 0.0, 5, 0.0, 4, 0.5, 0, 0, 0, 0), (3, 0.0, 2, 0.0, 0, 0.0, 0, 0, 0, 0), (8, 0.1, 4, 0.6, 5, 0.0, 0, 0, 0, 0), (5, 0.4, 60, 0.0, 3, 1.0, 0, 0, 0, 0),
+        (40, 0.0, 2, 0.0, 2, 0.0, 0, 0, 1, 1), (60, 0.0, 3, 1.0, 2, 1.0, 0, 0, 1, 1), (30, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 1), (100, 0.1, 4, 1.0, 5, 1.0, 0, 0, 1, 1),
+        (25, 0.0, 2, 0.0, 3, 1.0, 0, 0, 1, 1), (200, 0.0, 1, 1.0, 4, 0.0, 0, 0, 1, 1), (33, 0.2, 5, 0.0, 3, 0.0, 0, 0, 1, 1), (20, 0.0, 8, 1.0, 9, 0.0, 0, 0, 1, 1),
+        (30, 0.0, 2, 0.0, 2, 0.0, 0, 1, 1, 1), (90, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 1), (50, 0.0, 60, 0.0, 2, 1.0, 0, 1, 1, 1), (1, 0.0, 30, 0.0, 1, 1.0, 0, 1, 1, 1),
+        (2, 0.0, 1, 1.0, 70, 0.0, 0, 1, 1, 1), (1, 0.0, 12, 0.1, 4, 1.0, 0, 1, 1, 1), (8, 0.0, 3, 1.0, 2, 1.0, 0, 1, 1, 1), (40, 0.0, 4, 1.0, 5, 1.0, 0, 1, 1, 1),
+        (2, 0.0, 1, 1.0, 1, 1.0, 0, 1, 1, 1), (3, 0.5, 20, 0.0, 1, 1.0, 0, 1, 1, 1), (60, 0.3, 2, 1.0, 30, 0.5, 0, 1, 1, 1), (12, 0.9, 80, 0.0, 60, 0.0, 0, 1, 1, 1),
+        (70, 0.0, 90, 0.0, 80, 0.0, 1, 1, 1, 0), (20, 0.0, 90, 0.0, 30, 0.0, 1, 1, 0, 0), (300, 0.0, 30, 0.0, 60, 0.0, 1, 0, 1, 0), (2, 0.0, 90, 0.0, 20, 0.0, 1, 1, 0, 0),
+        (7, 1.0, 50, 0.0, 40, 0.0, 1, 1, 1, 0), (15, 0.0, 0, 0.0, 80, 0.0, 1, 0, 0, 0), (1, 1.0, 4, 0.0, 1, 1.0, 0, 0, 0, 0), (3, 1.0, 1, 1.0, 60, 0.0, 0, 0, 0, 0),
+        (4, 0.5, 6, 0.4, 90, 0.0, 0, 0, 0, 0), (12, 1.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0), (3, 0.0, 80, 0.0, 2, 0.0, 0, 0, 0, 0), (6, 0.3, 70, 0.0, 0, 0.0, 0, 0, 0, 0),
+        (1, 0.0, 5, 1.0, 70, 0.0, 0, 0, 1, 1), (1, 0.0, 80, 0.0, 60, 0.0, 0, 0, 1, 1), (4, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1, 1), (8, 0.0, 0, 0.0, 90, 0.0, 0, 0, 1, 1), (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 1),
+        (3, 0.0, 1, 1.0, 1, 1.0, 0, 0, 1, 1), (10, 0.2, 50, 0.0, 40, 0.0, 0, 0, 1, 1), (3, 0.0, 80, 0.0, 2, 0.0, 0, 0, 1, 1), (6, 0.3, 70, 0.0, 0, 0.0, 0, 0, 1, 1), (4, 0.0, 3, 1.0, 4, 1.0, 0, 0, 1, 1), (5, 0.4, 60, 0.0, 50, 0.0, 0, 0, 1, 1),
+        (2, 1.0, 80, 0.0, 60, 0.0, 0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 1, 0), (4, 1.0, 3, 1.0, 3, 1.0, 0, 0, 1, 0), (9, 1.0, 60, 0.0, 9, 1.0, 0, 0, 1, 0), (2, 0.0, 90, 0.0, 3, 1.0, 0, 0, 0, 0), (22, 0.8, 30, 0.7, 20, 0.9, 0, 0, 1, 0),
     ]
 )
 
@@ -120,7 +122,7 @@ def _place(tag: str, rest: str, in_article: bool) -> tuple[int, bool]:
     boiler = SURE if tag in BOILER_TAGS or (tag == "header" and not in_article) else 0
     article = tag in ("article", "main")
     if rest and tag not in ("html", "body", "main"):
-        for name, a, b, c in NAMED.findall(rest):
+        for name, a, b, c in ATTRIBUTE.findall(rest):
             name, value = name.lower(), (a or b or c).lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 boiler = SURE
@@ -128,6 +130,8 @@ def _place(tag: str, rest: str, in_article: bool) -> tuple[int, bool]:
                 boiler = SURE if "display:none" in value.replace(" ", "") else boiler
             elif name in ("class", "id", "role", "itemprop"):
                 for token in value.split():
+                    if in_article and tag in PROSE and token in SOFT:
+                        continue
                     if token in ARTICLE_HINTS:
                         article = True
                     elif token in HINTS or (token == "header" and tag != "article"):
@@ -147,12 +151,28 @@ def _inherited(tag: str, article: bool, outer: int) -> int:
     return 0 if outer <= (STRONG if tag == "main" else WEAK if article else 0) else outer
 
 
-def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
-    """(text, words, link density, boilerplate place, article place) of the text blocks in page order."""
-    out: list[tuple[str, int, float, bool, bool]] = []
+def tag_end(page: str, at: int, last_quote: dict[str, int]) -> int:
+    """The place after the ``>`` that ends a tag. Quoted values are passed over, unless their quote is the page's last one.
+    A tag that never ends takes the rest of the page with it, as in a browser."""
+    while True:
+        m = STOPS.search(page, at)
+        if not m:
+            return len(page)
+        k, at, c = m.start() - 1, m.end(), m.group()
+        if c == ">":
+            return at
+        while page[k].isspace():
+            k -= 1
+        if page[k] == "=" and last_quote[c] >= at:
+            at = page.find(c, at) + 1
+
+
+def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
+    """(text, words, link density, boilerplate place, article place, prose) of the text blocks in page order."""
+    out: list[tuple[str, int, float, bool, bool, bool]] = []
     stack: list[tuple[str, int, bool]] = []  # tag, boilerplate, article; what is inside inherits
     parts: list[str] = []
-    linked, in_link, place = 0, 0, (0, False)
+    linked, in_link, place, kind = 0, 0, (0, False), ""
 
     def close() -> None:
         nonlocal linked
@@ -160,24 +180,42 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             text = " ".join("".join(parts).split())
             if text:
                 words = len(text.split())
-                out.append((text, words, min(1.0, linked / words), place[0] > 0, place[1]))
+                out.append((text, words, min(1.0, linked / words), place[0] > 0, place[1], kind in PROSE))
             parts.clear()
         linked = 0
 
-    at, endless = 0, set()
+    def say(text: str) -> None:
+        nonlocal linked
+        text = html.unescape(text)
+        parts.append(text)
+        if in_link:
+            linked += len(text.split())
+
+    opened: Counter[str] = Counter()  # how many of a tag the stack holds
+    at, endless, last_quote = 0, set(), {c: page.rfind(c) for c in "\"'"}
     while at < len(page):
-        m = TOKEN.match(page, at)  # some alternative fits any character
-        at = m.end()
-        tag = m.group("tag")
-        if tag is None:
-            token = m.group()
-            if m.group("raw") is None and not token.startswith(("<!", "<?")):
-                text = html.unescape(token)
-                parts.append(text)
-                if in_link:
-                    linked += len(text.split())
+        lt = page.find("<", at)
+        if lt != at:
+            lt = len(page) if lt < 0 else lt
+            say(page[at:lt])
+            at = lt
+            continue
+        if page.startswith(("<!", "<?"), at):
+            end = page.find("-->", at + 4) if page.startswith("<!--", at) else page.find(">", at)
+            at = len(page) if end < 0 else end + (3 if page.startswith("<!--", at) else 1)
+            continue
+        m = TAG.match(page, at)
+        if not m:
+            say("<")
+            at += 1
+            continue
+        begin, at = m.end(), tag_end(page, m.end(), last_quote)
+        tag, ending = m.group(1).lower(), page[m.start() + 1] == "/"
+        rest = page[begin : at - 1]
+        if tag in RAW and not ending:
+            end = RAW[tag].search(page, at)
+            at = tag_end(page, end.end(), last_quote) if end else len(page)
             continue
-        tag, ending, rest = tag.lower(), bool(m.group("end")), m.group("rest")
         if tag in SKIPPED:
             if not ending and tag not in endless and not (tag in ("svg", "math") and rest.endswith("/")):
                 end = SKIPPED[tag].search(page, at)
@@ -188,15 +226,20 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             continue
         if tag == "a":
             in_link = 0 if ending else 1
+        if tag == "br":
+            parts.append(" ")
+            continue
         if tag not in INLINE:
             close()
+            kind = "" if ending else tag
             if tag in VOID:
                 continue
         if ending:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
                     if tag not in INLINE or k == len(stack) - 1:
                         close()
+                    opened.subtract(x[0] for x in stack[k:])
                     del stack[k:]
                     break
                 if stack[k][0] in FRAMES and tag not in FRAMES:
@@ -204,7 +247,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             place = stack[-1][1:] if stack else (0, False)
             continue
         if tag in ("p", "li", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == tag:
-            stack.pop()  # an open one ends where the next begins
+            opened[stack.pop()[0]] -= 1  # an open one ends where the next begins
             place = stack[-1][1:] if stack else (0, False)
         if tag in VOID or rest.endswith("/"):
             continue
@@ -214,6 +257,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
                 close()
             stack.append((tag, max(_inherited(tag, article, place[0]), boiler), place[1] or article))
             place = stack[-1][1:]
+            opened[tag] += 1
     close()
     return out
 
@@ -222,9 +266,9 @@ def main_text(page: str | None) -> str:
     found = blocks(page) if page else []
     if not found:
         return ""
-    own = np.array([(w, d) for _, w, d, _, _ in found], float)
+    own = np.array([(w, d) for _, w, d, *_ in found], float)
     pad = np.zeros((1, 2))
-    flags = np.array([(b, a) for *_, b, a in found], float)
+    flags = np.array([f[3:] for f in found], float)
     x = np.hstack([own, np.vstack([pad, own[:-1]]), np.vstack([own[1:], pad]), flags])
     return " ".join(f[0] for f, keep in zip(found, trained_tree().predict(x), strict=True) if keep)
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from docsieve.llm import html_blocks, queries
@@ -82,3 +84,45 @@ def test_skipped_elements_end_where_they_end(start):
 
 def test_scripts_without_an_end_run_to_the_end():
     assert html_blocks.main_text(f"<article><p>{BODY}</p><script>var a = 1; <p>no</p></article>") == BODY
+
+
+def test_names_of_other_attributes_say_nothing():
+    assert html_blocks.main_text(f"<div data-id='ad-12'><p>{BODY}</p></div>") == BODY
+    assert html_blocks.main_text(f"<article><div data-role='share-text'><p>{BODY}</p></div><p class='social'>{BODY}</p></article>") == f"{BODY} {BODY}"
+
+
+def test_short_blocks_outside_an_article_stay():
+    page = f"<h1>Title</h1><p>{BODY}</p><p>Yes.</p><p>{BODY}<br>No.<br>{BODY}</p>"
+    assert html_blocks.main_text(page) == f"Title {BODY} Yes. {BODY} No. {BODY}"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<script ", "<!", "<", "</", "<a x=\"", "<a x='>'", "<svg>", "<title>", "<p class=\"x", "<div>", "</div>", "&", "<a b   "])
+def test_malformed_pages_take_linear_time(part):
+    began = time.perf_counter()
+    html_blocks.main_text(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 20
+
+
+def test_stray_end_tags_take_linear_time():
+    began = time.perf_counter()
+    html_blocks.main_text("<div>" * 50_000 + "</section>" * 50_000)
+    assert time.perf_counter() - began < 20
+
+
+def test_unquoted_apostrophes_end_with_the_tag():
+    assert html_blocks.main_text(f"<article><p title=it's>{BODY}</p><p>It's {BODY}</p></article>") == f"{BODY} It's {BODY}"
+
+
+def test_held_out_pages(spark):
+    """Blocks of real pages, labelled by the element that holds them: what is in <article> is the text."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
+    right = total = 0
+    for (page,) in pages:
+        inner = page[page.index("<article>") + 9 : page.index("</article>")] if "</article>" in page else None
+        if inner is None:
+            continue
+        expected = " ".join(b[0] for b in html_blocks.blocks(inner))
+        for form in (page, page.replace("<article>", "<div>").replace("</article>", "</div>")):
+            right += html_blocks.main_text(form) == expected
+            total += 1
+    assert total and right >= 0.95 * total
