@@ -5,16 +5,19 @@ counts come from all documents of the training folds, summed by Spark by (langua
 script (by code-point range) narrows the candidate languages to those that use that script; Viterbi over the words with
 a penalty for each switch labels them; the language with the most letters is the prediction.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0; without any training row every text is
+A word is a letter (category L) with the letters and combining marks after it, so numbers of any kind are none and
+vowel signs do not cut words. Defined results: null texts and texts without a letter are ``und`` with score 0; without any training row every text is
 ``und``; repeated rows are predicted each; a null doc_id is not held out; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,35 @@ from docsieve.llm.common import remainder, whole_text
 from docsieve.llm.token_count import _groups
 
 FEATURES, SWITCH, CLIP, SMOOTH, SHARE = 1 << 15, 8.0, 12.0, 0.5, 0.005
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _ranges(kinds: str) -> str:
+    """The code points of the given general categories, as ranges of a character class."""
+    inside = np.fromiter((unicodedata.category(chr(c))[0] in kinds for c in range(0x110000)), np.int8, 0x110000)
+    edges = np.flatnonzero(np.diff(inside, prepend=0, append=0)).tolist()
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+@lru_cache(maxsize=1)
+def _letters() -> tuple[re.Pattern, frozenset[str]]:
+    """A word by category, and the characters because of which PLAIN would find other words."""
+    points = map(chr, range(0x110000))
+    odd = frozenset(c for c in points if (k := unicodedata.category(c)[0]) == "M" or k != "L" and PLAIN.match(c))
+    return re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*"), odd
+
+
+def words_in(text: str) -> Iterator[re.Match]:
+    """A word: a letter and the letters and combining marks after it. Numbers of any kind are no letters."""
+    by_category, odd = _letters()
+    return (PLAIN if text.isascii() or odd.isdisjoint(text) else by_category).finditer(text)
+
+
+def find(text: str) -> list[str]:
+    by_category, odd = _letters()
+    return (PLAIN if text.isascii() or odd.isdisjoint(text) else by_category).findall(text)
+
+
+PLAIN = re.compile(r"[^\W\d_]+")
 # First code points of script ranges of Unicode blocks, and the script each range belongs to.
 SCRIPT_STARTS = (0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xA00, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x2C00, 0x3040, 0x30A0, 0x3100, 0x3130, 0x3190, 0x3400, 0xA000, 0xAC00, 0xD800, 0xF900, 0xFB00, 0xFB1D, 0xFB50, 0xFE00, 0x20000)
 SCRIPTS = ("latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "other", "devanagari", "bengali", "indic", "thai", "lao", "georgian", "hangul", "ethiopic", "latin", "greek", "other", "latin", "kana", "kana", "han", "hangul", "other", "han", "other", "hangul", "other", "han", "latin", "hebrew", "arabic", "other", "han")
@@ -64,7 +95,7 @@ def feature_counts(docs: DataFrame) -> DataFrame:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             by: dict[str, Counter] = {}
             for text, lang in zip(texts, langs, strict=True):
-                by.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+                by.setdefault(lang, Counter()).update(find(text.lower()))
             for lang, seen in by.items():
                 mine = total.setdefault(lang, np.zeros(FEATURES + len(NAMES), np.int64))
                 if not seen:
@@ -84,12 +115,13 @@ def feature_counts(docs: DataFrame) -> DataFrame:
 class Model:
     """Log-probabilities by language; its size is bounded by languages x FEATURES."""
 
-    def __init__(self, rows: list):
-        self.langs = sorted({r[0] for r in rows})
-        counts = np.zeros((len(self.langs), FEATURES + len(NAMES)))
-        at = {x: k for k, x in enumerate(self.langs)}
-        for lang, f, n in rows:
-            counts[at[lang], f] = n
+    def __init__(self, rows: pa.Table):
+        lang = rows.column("lang").combine_chunks().dictionary_encode()
+        names = lang.dictionary.to_pylist()
+        self.langs = sorted(names)
+        counts = np.zeros((len(names), FEATURES + len(NAMES)))
+        place = np.array([self.langs.index(x) for x in names], np.int64)
+        counts[place[lang.indices.to_numpy(zero_copy_only=False)], rows.column("feature").to_numpy()] = rows.column("n").to_numpy()
         grams, scripts = counts[:, :FEATURES] + SMOOTH, counts[:, FEATURES:]
         self.logp = np.log(grams / grams.sum(axis=1, keepdims=True)).T.astype(np.float32).copy() if self.langs else np.zeros((FEATURES, 0), np.float32)
         uses = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1) >= SHARE
@@ -151,12 +183,12 @@ def viterbi(emit: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH) -> np.
 def train(docs: DataFrame) -> Model:
     """A model over all rows with a language outside the held-out fold."""
     seen = docs.filter(F.col("lang").isNotNull() & F.coalesce(remainder("doc_id", 4) != 2, F.lit(False)))
-    return Model([tuple(r) for r in feature_counts(seen).collect()])  # languages x features at most
+    return Model(feature_counts(seen).toArrow())  # a number for each of FEATURES and each language
 
 
 def _spans(text: str, labels: np.ndarray, langs: list[str]) -> list[dict]:
     out: list[dict] = []
-    for m, k in zip(LETTERS.finditer(text), labels.tolist(), strict=True):
+    for m, k in zip(words_in(text), labels.tolist(), strict=True):
         if out and out[-1]["lang"] == langs[k]:
             out[-1]["end"] = m.end()
         else:
@@ -172,7 +204,7 @@ def predict(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def label(texts: list[str], m: Model) -> tuple[list, list, list]:
-        found = [LETTERS.findall(t) for t in texts]
+        found = [find(t) for t in texts]
         sizes = np.array([len(w) for w in found], np.int64)
         pred, score, marked = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
         some = np.flatnonzero(sizes)

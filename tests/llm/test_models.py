@@ -60,6 +60,14 @@ def test_language_edges(spark, edge_docs, no_docs):
     assert langid.identify(taught.limit(0)).count() == 0
 
 
+def test_numbers_are_no_letters_and_marks_do_not_cut_words(spark):
+    model = langid.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    texts = ["½ ² ③", "Ⅷ 七 ४२"[0:1], "२ ४ \u0301", "naïve ½", ""]
+    got = [(r["lang_pred"], r["score"]) for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert [g for k, g in enumerate(got) if k != 3] == [("und", 0.0)] * 4 and got[3][0] != "und"
+    assert langid.find("हिन्दी naïve don't Ⅷ x²y \u0301z") == ["हिन्दी", "naïve", "don", "t", "x", "y", "z"]
+
+
 def test_mixed_text_has_spans(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(docs)
