@@ -5,12 +5,13 @@ Everything here is DataFrame code.
 1. *Entries*: texts are grouped by (hash, text). Spark combines on the map side, so a text that a third of all rows
    share crosses the network once per map task. The grouping key is the text itself, that is, bytes are compared.
    One entry per distinct text goes to the shared folder.
-2. *Directory*: entries are counted by hash prefix. Starting from depth 0 every bucket with more than ``capacity``
-   entries is split by one more bit (the directory doubles) up to a depth that the entry count sets, 16 at most, so the
-   directory has 65,536 rows at most.
+2. *Directory*: entries are counted by hash prefix. As long as a bucket holds more than ``capacity`` entries of more
+   than one hash, the directory doubles (the prefix grows by a bit) and such buckets split; there is no greatest depth.
+   A bucket that needs no more than its local depth fills several slots. Only slots that hold entries are listed.
 3. *Owners*: entries are dealt out by range of bucket; each owner task chains the entries of one hash. The index is
    written in three parts: hashes of a single row, of copies of one text, and of colliding texts (chains).
-4. Every document looks its hash up. Only where texts collide does the lookup compare the text as well.
+4. Every document finds its bucket by the directory and looks its hash up there. Only where texts collide does the
+   lookup compare the text as well.
 
 Defined results: null text counts as empty; a null doc_id never becomes keep_id unless all ids of the group are null;
 rows that repeat one (doc_id, text) are one document, all of them carry the same answer, but ``drop_copies`` returns one
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from docsieve.llm.common import ascii_lower, persist_table, whole_text
 
-MAX_DEPTH = 16
+BROADCAST_SLOTS = 1 << 18  # a directory of more slots (24 bytes each) is joined by a shuffle
 
 
 def text_hash(text: Column, hash_bits: int = 64) -> Column:
@@ -40,30 +41,41 @@ def _prefix(h: Column, depth: int) -> Column:
 
 
 def build_directory(entries: DataFrame, capacity: int) -> DataFrame:
-    """(slot, depth, bucket): for each slot of the doubled directory, the local depth and first slot of its bucket."""
-    n = entries.count()
-    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(n, 1) / capacity)) + 3))
-    slots = entries.groupBy(_prefix(F.col("h"), depth).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    """(slot, bucket, depth, global_depth): for each slot of the doubled directory, the first slot of its bucket and the
+    bucket's local depth."""
+    depth = max(0, math.ceil(math.log2(max(entries.count(), 1) / capacity)))
+    while True:
+        slots = entries.groupBy(_prefix(F.col("h"), depth).alias("slot")).agg(F.count(F.lit(1)).alias("n"), (F.min("h") != F.max("h")).alias("mixed"))
+        slots = persist_table(slots, "dedup-slots")
+        if depth == 64 or slots.filter(F.col("mixed") & (F.col("n") > capacity)).isEmpty():
+            break
+        depth += 1
     nodes = slots.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(depth))))
-    nodes = nodes.withColumn("node", F.expr(f"shiftright(slot, {depth} - depth)"))
+    nodes = nodes.withColumn("node", F.expr(f"shiftrightunsigned(slot, {depth} - depth)"))
     filled = nodes.groupBy("depth", "node").agg(F.sum("n").alias("filled"))
     fits = nodes.join(filled, ["depth", "node"]).filter((F.col("filled") <= capacity) | (F.col("depth") == depth))
     local = fits.groupBy("slot").agg(F.min("depth").alias("depth"))
-    return local.withColumn("bucket", F.expr(f"shiftleft(shiftright(slot, {depth} - depth), {depth} - depth)")).withColumn("global_depth", F.lit(depth))
+    return local.withColumn("bucket", F.expr(f"shiftleft(shiftrightunsigned(slot, {depth} - depth), {depth} - depth)")).withColumn("global_depth", F.lit(depth))
 
 
-def build_index(keyed: DataFrame, capacity: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``keyed`` has _xd_id, _xd_norm, h. Returns the index (bucket, h, keep_id, group_size, n_texts, kind), its chained
-    hashes (h) and their texts (h, chain_text, keep_id, group_size)."""
+def in_bucket(rows: DataFrame, directory: DataFrame, h: str) -> DataFrame:
+    """``rows`` with _xd_bucket, the bucket that the directory gives for the hash in column ``h``."""
+    first = directory.select("global_depth").first()
+    slots = directory.select(F.col("slot").alias("_xd_slot"), F.col("bucket").alias("_xd_bucket"))
+    if directory.count() <= BROADCAST_SLOTS:
+        slots = F.broadcast(slots)
+    return rows.withColumn("_xd_slot", _prefix(F.col(h), first[0] if first else 0)).join(slots, "_xd_slot").drop("_xd_slot")
+
+
+def build_index(keyed: DataFrame, capacity: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``keyed`` has _xd_id, _xd_norm, h. Returns the directory, the index (bucket, h, keep_id, group_size, n_texts, kind),
+    its chained hashes (h) and their texts (h, chain_text, keep_id, group_size)."""
     entries = keyed.groupBy("h", "_xd_norm").agg(F.max("_xd_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     entries = persist_table(entries.drop("_xd_norm"), "dedup-entries")
     directory = persist_table(build_directory(entries, capacity), "dedup-directory")
-    row = directory.select("global_depth").first()
-    depth = row[0] if row else 0
-    slot = _prefix(F.col("h"), depth)
     owned = (
-        entries.withColumn("slot", slot)
-        .join(F.broadcast(directory.select("slot", "bucket")), "slot")  # 65,536 rows at most
+        in_bucket(entries, directory, "h")
+        .withColumnRenamed("_xd_bucket", "bucket")
         .repartitionByRange("bucket")
         .groupBy("bucket", "h")
         .agg(F.count(F.lit(1)).alias("n_texts"), F.sum("group_size").alias("group_size"), F.max("keep_id").alias("keep_id"))
@@ -73,7 +85,7 @@ def build_index(keyed: DataFrame, capacity: int = 4096) -> tuple[DataFrame, Data
     # A table of its own, so that its true size decides between a broadcast and a shuffle of the texts.
     chained = persist_table(index.filter("kind = 'chain'").select("h"), "dedup-chains")
     texts = keyed.join(chained, "h").groupBy("h", F.col("_xd_norm").alias("chain_text"))
-    return index, chained, texts.agg(F.max("_xd_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return directory, index, chained, texts.agg(F.max("_xd_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, hash_bits: int = 64) -> DataFrame:
@@ -83,9 +95,9 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     base = docs.withColumn("_xd_norm", ascii_lower(whole_text(text_col))).withColumn("_xd_h", text_hash(F.col("_xd_norm"), hash_bits))
     keyed = base.select(F.col(id_col).alias("_xd_id"), "_xd_norm", F.col("_xd_h").alias("h"))
-    index, chained, chain_texts = build_index(keyed, capacity)
-    groups = index.filter("kind = 'copies'").select(F.col("h").alias("_xd_gh"), F.lit(None).cast("string").alias("_xd_chain_text"), F.col("keep_id").alias("_xd_gk"), F.col("group_size").alias("_xd_gs"))
-    chains = chain_texts.filter("group_size > 1").select(F.col("h").alias("_xd_gh"), F.col("chain_text").alias("_xd_chain_text"), F.col("keep_id").alias("_xd_gk"), F.col("group_size").alias("_xd_gs"))
+    directory, index, chained, chain_texts = build_index(keyed, capacity)
+    groups = index.filter("kind = 'copies'").select(F.col("bucket").alias("_xd_gb"), F.col("h").alias("_xd_gh"), F.lit(None).cast("string").alias("_xd_chain_text"), F.col("keep_id").alias("_xd_gk"), F.col("group_size").alias("_xd_gs"))
+    chains = in_bucket(chain_texts.filter("group_size > 1"), directory, "h").select(F.col("_xd_bucket").alias("_xd_gb"), F.col("h").alias("_xd_gh"), F.col("chain_text").alias("_xd_chain_text"), F.col("keep_id").alias("_xd_gk"), F.col("group_size").alias("_xd_gs"))
     chained = chained.select(F.col("h").alias("_xd_ch"))
     rows = (
         base.withColumn("_xd_sha256", F.sha2(F.col("_xd_norm").cast("binary"), 256))
@@ -93,11 +105,12 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("_xd_own_text", F.when(F.col("_xd_ch").isNotNull(), F.col("_xd_norm")))
         .drop("_xd_norm", "_xd_ch")
     )
-    found = rows.join(groups.unionByName(chains), (F.col("_xd_h") == F.col("_xd_gh")) & F.col("_xd_own_text").eqNullSafe(F.col("_xd_chain_text")), "left")
+    rows = in_bucket(rows, directory, "_xd_h")
+    found = rows.join(groups.unionByName(chains), (F.col("_xd_bucket") == F.col("_xd_gb")) & (F.col("_xd_h") == F.col("_xd_gh")) & F.col("_xd_own_text").eqNullSafe(F.col("_xd_chain_text")), "left")
     keep = F.when(F.col("_xd_gs").isNull(), F.col(id_col)).otherwise(F.col("_xd_gk"))
     found = found.withColumn("_xd_keep_id", keep).withColumn("_xd_group_size", F.coalesce("_xd_gs", F.lit(1)).cast("long"))
     found = found.withColumn("_xd_kept", F.col(id_col).eqNullSafe(F.col("_xd_keep_id")))
-    return found.drop("_xd_h", "_xd_gh", "_xd_gk", "_xd_gs", "_xd_own_text", "_xd_chain_text")
+    return found.drop("_xd_h", "_xd_bucket", "_xd_gb", "_xd_gh", "_xd_gk", "_xd_gs", "_xd_own_text", "_xd_chain_text")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, hash_bits: int = 64) -> DataFrame:

@@ -32,3 +32,17 @@ def test_directory_splits(spark):
     keys = spark.range(5000).selectExpr("xxhash64(id) as h")
     directory = exact_dedup.build_directory(keys, 64).collect()
     assert len({r["bucket"] for r in directory}) >= 5000 // 64 and max(r["depth"] for r in directory) > min(r["depth"] for r in directory) - 1
+
+
+def test_overfull_buckets_split(spark):
+    """Hashes that share their first 20 bits: the directory must double until each bucket fits, and no further than that."""
+    rows = [((5 << 44) | k << 30,) for k in range(64)] + [(-1 - (k << 50),) for k in range(8)] + [(7,)] * 20
+    directory = exact_dedup.build_directory(spark.createDataFrame(rows, "h long"), capacity=4)
+    found = {r["slot"]: r for r in directory.collect()}
+    depth = next(iter(found.values()))["global_depth"]
+    fill = {}
+    for (h,) in rows:
+        r = found[(h & (1 << 64) - 1) >> (64 - depth)]
+        fill.setdefault(r["bucket"], []).append(h)
+    assert depth > 20 and all(len(x) <= 4 or len(set(x)) == 1 for x in fill.values())
+    assert any(len(x) > 1 for x in fill.values() if len(set(x)) > 1)
