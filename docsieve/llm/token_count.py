@@ -1,13 +1,21 @@
 """Token counts by a compiled finite-state transducer.
 
-The tokenizer's splitting rule is a deterministic transducer over ten character classes and six states. Its transitions
-say where tokens start. A batch of texts is laid out as equal chunks; for every chunk the map "state before -> state
-after" is computed for all six states at once, the maps compose in a parallel prefix scan, and a second sweep from the
-now known states writes the annotations down. Words are the second level: a transducer from words to emitted-token
-counts whose transitions are compiled on first sight by the library's own merge rules and kept for later words (up to
-``WORDS`` of them, then compiled anew; counts do not depend on that).
+Two transducers work one after the other.
 
-The vocabulary file must be a lower-casing word-end BPE (NFC, white space collapsed, contractions split off).
+* Words: the tokenizer's splitting rule is a deterministic transducer over ten character classes and six states. Its
+  transitions say where words start. A batch of texts is laid out as equal chunks; for every chunk the map "state before
+  -> state after" is computed for all six states at once, the maps compose in a parallel prefix scan, and a second sweep
+  from the now known states writes the annotations down.
+* Tokens: the vocabulary's merges are compiled into a deterministic transducer over the bytes of a word. A sequence of
+  tokens is what the merges give if and only if each two neighbours are. So the tokens of a prefix are known from the last
+  token at every earlier place, and only places that some token may still reach over count: a state is the longest suffix
+  that begins a token, with the last token and the count at each place in it. A transition carries the number of tokens
+  that the byte adds (which may be none or negative); the last byte of a word has transitions of its own. Transitions are
+  compiled when first needed and kept, up to ``STATES`` states and ``WORDS`` words, then compiled anew; counts do not
+  depend on that. A word start leads to the first state from any other, so chunk maps need no more than the words.
+
+The library takes no part. The vocabulary file must be a lower-casing word-end BPE (NFC, white space collapsed,
+contractions split off); the driver reads it once and sends the tables to the executors.
 
 Defined results: null counts as empty, which has no token; a null doc_id stays null; repeated rows are counted each;
 an empty table gives none. Special strings inside a text count one token each, as the library takes them by default.
@@ -15,14 +23,15 @@ an empty table gives none. Special strings inside a text count one token each, a
 
 from __future__ import annotations
 
-import os
+import json
 import unicodedata
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,20 +40,21 @@ from docsieve.llm.common import whole_text
 SPACE, LETTER, NUMBER, OTHER, QUOTE, ENDER, ARR, VEE, ELL, EE = range(10)
 BETWEEN, WORD, RUN, QUOTED, NEEDS_E, NEEDS_L = range(6)
 STARTS, STARTED_BEFORE = 1, 2  # annotations of a transition: a token starts here, or started one character earlier
-CHUNK, WORDS = 256, 1_000_000
+CHUNK, WORDS, STATES = 256, 1_000_000, 2_000_000
+END = "\u0100"  # follows the last byte of a word in the tokens' spelling, where bytes are U+0000 to U+00FF
+
+
+# Lower-case forms of capitals that are newer than the tables of Python's own lower().
+NEW_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 32 for c in range(0x10D50, 0x10D66)}
+_NEW = frozenset(map(chr, NEW_CAPITALS))
 
 
 def _character_classes() -> np.ndarray:
-    points = [chr(c) for c in range(0x110000)]
     table = np.full(0x110000, OTHER, np.uint8)
-    for k, c in enumerate(points):
-        category = unicodedata.category(c)
-        if category[0] == "L":
-            table[k] = LETTER
-        elif category[0] == "N":
-            table[k] = NUMBER
-        elif category[0] in "ZC" and regex.match(r"\s", c):
-            table[k] = SPACE
+    points = "".join(map(chr, range(0x323B0)))  # there are no letters, numbers or spaces beyond
+    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
+        for m in regex.finditer(pattern, points):
+            table[m.start() : m.end()] = kind
     for chars, kind in (("'", QUOTE), ("stmd", ENDER), ("r", ARR), ("v", VEE), ("l", ELL), ("e", EE)):
         for c in chars:
             table[ord(c)] = kind
@@ -107,15 +117,113 @@ def scan_states(kinds: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     return said.T.ravel()[:n]
 
 
-class TokenCounter:
-    """Counts of one vocabulary file."""
+def _byte_of() -> dict[str, str]:
+    """The byte (as U+0000 to U+00FF) that each character of a byte-level vocabulary stands for."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): chr(b) for b in plain} | {chr(256 + k): chr(b) for k, b in enumerate(others)}
+
+
+class MergeTransducer:
+    """Token counts of words, from the merges alone."""
+
+    def __init__(self, merges: list[tuple[str, str]]):
+        self.rank = {m: k for k, m in enumerate(merges)}
+        made = {a + b for a, b in merges}
+        self.tokens = {chr(b) + e for b in range(256) for e in ("", END)} | made
+        self.begins = {t[:k] for t in self.tokens for k in range(len(t) + (not t.endswith(END)))}
+        self.forget()
+
+    def forget(self) -> None:
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.number = {("", (None,), (0,)): 0}
+        self.states = list(self.number)
+        self.steps: list[dict[str, tuple[int, int]]] = [{}]
+        self.lasts: list[dict[str, int]] = [{}]
+
+    def merged(self, parts: list[str]) -> list[str]:
+        """The tokens of a sequence of symbols: the first merge of the least rank, again and again."""
+        while len(parts) > 1:
+            rank, k = min((self.rank.get(x, len(self.rank)), k) for k, x in enumerate(zip(parts, parts[1:])))
+            if rank == len(self.rank):
+                break
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return parts
+
+    def _fit(self, before: str | None, token: str) -> bool:
+        """Whether the merges leave the token, and the one before it, as they are."""
+        found = self.pairs.get((before, token))
+        if found is None:
+            parts = [*(before or ""), *token]
+            if token.endswith(END):
+                parts[-2:] = [parts[-2] + END]
+            found = self.pairs[before, token] = self.merged(parts) == ([token] if before is None else [before, token])
+        return found
+
+    def _last(self, state: int, symbol: str, end: str) -> tuple[int, str]:
+        """(place of its start in the state's suffix, token) of the last token after one more byte."""
+        suffix, last, _ = self.states[state]
+        whole = suffix + symbol + end
+        for k, before in enumerate(last):
+            token = whole[k:]
+            if token in self.tokens and self._fit(None, token) and (before is None or self._fit(before, token)):
+                return k, token
+        raise ValueError("the merges leave a byte without a token")
 
-    def __init__(self, path: str, chunk: int = CHUNK):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    def _step(self, state: int, symbol: str) -> tuple[int, int]:
+        suffix, last, counts = self.states[state]
+        k, token = self._last(state, symbol, "")
+        emits = counts[k] + 1
+        whole, at = suffix + symbol, 0
+        while whole[at:] not in self.begins:
+            at += 1
+        key = (whole[at:], (*last, token)[at:], tuple(c - emits for c in (*counts, emits)[at:]))
+        to = self.number.get(key)
+        if to is None:
+            to = self.number[key] = len(self.states)
+            self.states.append(key)
+            self.steps.append({})
+            self.lasts.append({})
+        self.steps[state][symbol] = to, emits
+        return to, emits
 
-        self.library, self.chunk, self.classes = Tokenizer.from_file(path), chunk, _character_classes()
-        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+    def count(self, word: str) -> int:
+        """The number of tokens of a word."""
+        if len(self.states) > STATES:
+            self.forget()
+        symbols, state, total = word.encode("utf-8", "surrogatepass").decode("latin-1"), 0, 0
+        steps = self.steps
+        for c in symbols[:-1]:
+            known = steps[state].get(c)
+            state, emits = known or self._step(state, c)
+            total += emits
+        c = symbols[-1]
+        emits = self.lasts[state].get(c)
+        if emits is None:
+            k, _ = self._last(state, c, END)
+            emits = self.lasts[state][c] = self.states[state][2][k] + 1
+        return total + emits
+
+
+def read_vocabulary(path: str) -> tuple[list[tuple[str, str]], list[str], np.ndarray]:
+    """(merges in order, special strings, character classes) of a vocabulary file."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    suffix, byte_of = found["model"]["end_of_word_suffix"], _byte_of()
+
+    def spelt(token: str) -> str:
+        ends = token.endswith(suffix)
+        return "".join(byte_of[c] for c in (token[: -len(suffix)] if ends else token)) + END * ends
+
+    return [(spelt(a), spelt(b)) for a, b in found["model"]["merges"]], [t["content"] for t in found["added_tokens"]], _character_classes()
+
+
+class TokenCounter:
+    """Counts of one vocabulary."""
+
+    def __init__(self, vocabulary: tuple[list[tuple[str, str]], list[str], np.ndarray], chunk: int = CHUNK):
+        merges, special, self.classes = vocabulary
+        self.transducer, self.chunk = MergeTransducer(merges), chunk
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.hints = special
         self.emits: dict[str, int] = {}
@@ -123,9 +231,8 @@ class TokenCounter:
     def _learn(self, words: set[str]) -> None:
         if len(self.emits) + len(words) > WORDS:
             self.emits = {}
-        new = list(words)
-        for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.emits[word] = len(found.ids)
+        for word in words:
+            self.emits[word] = self.transducer.count(word)
 
     def counts(self, texts: list[str]) -> np.ndarray:
         extra = np.zeros(len(texts), np.int64)
@@ -139,6 +246,8 @@ class TokenCounter:
             for part in parts:
                 if not part.isascii():
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # no final-sigma rule
+                    if not _NEW.isdisjoint(part):
+                        part = part.translate(NEW_CAPITALS)
                 pieces.append(part.lower())
                 owner.append(k)
         whole = " ".join(pieces) + " "
@@ -165,9 +274,15 @@ class TokenCounter:
         return extra + np.bincount(np.array(owner)[piece_of], emitted, len(texts)).astype(np.int64)
 
 
-@lru_cache(maxsize=2)
-def _counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
+_COUNTERS: dict[str, TokenCounter] = {}
+
+
+def _counter(key: str, held: Broadcast) -> TokenCounter:
+    """The worker process's counter, which keeps its compiled transitions from task to task."""
+    if key not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[key] = TokenCounter(held.value)
+    return _COUNTERS[key]
 
 
 def _groups(lengths: list[int], most: int) -> Iterator[slice]:
@@ -184,9 +299,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     """One row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens above ``limit``)."""
     slim = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     id_type = slim.schema["doc_id"].dataType.simpleString()
+    held = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))  # as large as the vocabulary, whatever the data
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(path)
+        counter = _counter(key, held)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             n = [counter.counts(texts[s]) for s in _groups([len(t) for t in texts], 2_000_000)] if texts else []

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from docsieve.llm import piece_sampling, queries, token_count
 from tests.llm import brute
@@ -24,10 +26,20 @@ def test_counts_are_the_library_s(spark, sf_dir, doc_rows):
 
 def test_tricky_texts():
     for chunk in (1, 7, 256):
-        counter = token_count.TokenCounter(public_tokenizers.path("word_bpe_49k.json"), chunk)
+        counter = token_count.TokenCounter(token_count.read_vocabulary(public_tokenizers.path("word_bpe_49k.json")), chunk)
         assert counter.counts(TRICKY).tolist() == [brute.library_count(t) for t in TRICKY]
 
 
+def test_random_words_and_all_characters(monkeypatch):
+    monkeypatch.setattr(token_count, "STATES", 3000)  # forgets what it has compiled many times over
+    counter = token_count.TokenCounter(token_count.read_vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 50))) for letters in ("ab", "etaoinshrdlu", "=-!'s", "éßあ\U0001f600z") for _ in range(1500)]
+    texts += [c * k for c in "a!=" for k in range(1, 90)] + [f"a{chr(c)}a x{chr(c)}1{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c % 7 == 0]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert counter.counts(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_edges(edge_docs, no_docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = [(r[0], r[1]) for r in edge_docs.select("doc_id", "text").collect()]
