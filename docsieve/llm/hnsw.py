@@ -9,8 +9,8 @@
   k over all shards remain. Distances are computed again in double precision on the original numbers.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite numbers take no part; so do vectors of
-another length than most (the length is taken from the smallest id); rows with a null id take no part; of rows that
-repeat an id, the copies count as one candidate; ties go to the smaller id; an empty table gives none.
+another length than most (of equally frequent lengths the shorter counts); rows with a null id take no part; rows that
+repeat an id count as one candidate at the smallest distance, and the smallest of their vectors asks; ties go to the smaller id; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -167,7 +167,8 @@ def build_index(vectors: DataFrame, copies: int, shard_rows: int = SHARD_ROWS) -
 
     schema = "shard int, n int, x binary, layers array<binary>, entry int, ids binary, copies binary"
     sharded = nodes.withColumn("shard", F.pmod(F.xxhash64("h", F.lit("shard")), F.lit(shards)).cast("int"))
-    return persist_table(sharded.groupBy("shard").applyInPandas(make, schema), "hnsw-index")
+    # A number of partitions of its own: adaptive execution would put many small shards, each long to build, into one task.
+    return persist_table(sharded.repartition(shards, "shard").groupBy("shard").applyInPandas(make, schema), "hnsw-index")
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH) -> DataFrame:
@@ -202,20 +203,23 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEAR
 
     spark = index.sparkSession
     dealt = pairs.repartition(F.col("shard"), F.col("block"))
-    # A row holds a whole shard, so Arrow batches are kept to a few rows.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    found = persist_table(dealt.mapInPandas(find, "query_id long, vec_id long, score double"), "hnsw-found")
-    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    return found
+    # A row holds a whole shard, so Arrow batches are kept to a few rows while this table is written.
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, "4")
+    try:
+        return persist_table(dealt.mapInPandas(find, "query_id long, vec_id long, score double"), "hnsw-found")
+    finally:
+        spark.conf.set(rows, before)
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, its k nearest other rows."""
     whole = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
-    smallest = whole.agg(F.min_by(F.size("v"), "id")).first()[0]
-    rows = whole.filter(F.size("v") == F.lit(smallest or 0))
+    usual = whole.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    rows = whole.filter(F.size("v") == F.lit(usual["n"] if usual else 0))
     index = build_index(rows, k + 1, shard_rows)
-    queries = rows.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"])
+    queries = rows.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("v").alias("q")).groupBy("query_id").agg(F.min("q").alias("q"))
     found = search_index(index, queries, k, ef)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

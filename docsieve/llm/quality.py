@@ -224,7 +224,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     sample = persist_table(sample.select(F.col("doc_id").cast("long").alias("_q_id"), "y"), "quality-sample")
     # The sample has at most ``max_labelled`` rows of two numbers, so it may be broadcast.
     taught = docs.select(F.col("doc_id").alias("_q_doc"), "text").join(F.broadcast(sample), F.col("_q_doc") == F.col("_q_id")).select(F.struct(F.col("_q_id").alias("id"), "y").alias("k"), "text")
-    rows = sorted(pooled(taught, vectors, "k").collect())  # bounded by the sample
+    # One row for each labelled id, also where ``docs`` repeats it, so the sample bounds what comes to the driver.
+    rows = sorted(pooled(taught, vectors, "k").groupBy("k").agg(F.min("x").alias("x")).collect())
     y = np.array([r["k"]["y"] for r in rows], float)
     if len(y) < 10 or y.min() == y.max():
         return vectors, Network(float(y.mean()) if len(y) else 0.5)

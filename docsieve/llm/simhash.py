@@ -89,8 +89,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, fp (long), component_id (the smallest id reachable over links)."""
     fps = persist_table(docs.select(F.col(id_col).alias("doc_id"), simhash_udf(F.coalesce(F.col(text_col), F.lit(""))).alias("fp")), "simhash")
     nodes = persist_table(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    placed = _components(nodes)
-    smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Tables of their own, so that Spark can split a very large component in the join.
+    placed = persist_table(_components(nodes), "simhash-placed")
+    smallest = persist_table(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-roots")
     members = placed.join(smallest, "root").select("fp", "component_id")
     return fps.join(members, "fp").select("doc_id", "fp", "component_id")
 
