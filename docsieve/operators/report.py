@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsieve.functions import answers as A
 from docsieve.functions import similarity as S
 from docsieve.functions import text as X
 from docsieve.functions import values as V
@@ -79,15 +80,58 @@ def item_text() -> Column:
     return F.concat_ws("\n", *lines)
 
 
+def read_results(tasks: DataFrame) -> DataFrame:
+    """(task_id, result_json) -> task_id, place, code, report (summary, items), result: the results of each task. A report is
+    looked for in the fields made for it, then in the answer's text. What is no list has no results."""
+    parsed = F.from_json("result_json", "array<map<string,string>>")
+    out = tasks.select("task_id", F.posexplode(F.filter(parsed, lambda m: m.isNotNull())).alias("place", "m"))
+    m = F.col("m")
+    listed = F.when(m["structured_items"].isNotNull(), F.concat(F.lit('{"summary":'), V.json_string(X.text_of(m["summary"])), F.lit(',"items":'), m["structured_items"], F.lit("}")))
+    return out.select("task_id", "place", m["code"].alias("code"), A.reports(m["structured_report"], m["report_json"], listed, m["result"]).alias("report"), m["result"].alias("result"))
+
+
+def report_items(results: DataFrame) -> DataFrame:
+    """(task_id, code, report, result) -> one row per item: task_id, code, idx, the fields, type, text and id. A result
+    without a report is read as a plain one."""
+    keys = [F.col("task_id"), F.col("code")]
+    item = F.col("item")
+    given = {f: A.named(item, k) for f, k in A.FIELD_KEYS.items()}
+    told = A.status_of(A.named(item, A.STATUS_KEYS))
+    bare = A.is_status_only(given["category"])
+    structured = results.filter("report.items is not null").select(*keys, F.posexplode("report.items").alias("k", "item"))
+    structured = structured.select(*keys, (F.col("k") + 1).alias("idx"), *[v.alias(f) for f, v in given.items()], F.coalesce(told, F.when(bare, A.status_of(given["category"]))).alias("told"), (F.size(item) == 1).alias("plain"), item[""].alias("whole"))
+    structured = structured.withColumn("category", F.when(A.is_status_only(F.col("category")), "").otherwise(F.col("category")))
+    empty = F.concat(*[F.col(f) for f in ("category", "location", "excerpt", "description", "impact", "suggestion")]) == ""
+    structured = structured.withColumn("description", F.when(empty, F.col("whole")).otherwise(F.col("description")))
+    said = F.trim(X.text_of(F.col("result")))
+    chunks = A.legacy_chunks(said)
+    legacy = results.filter("report.items is null").withColumn("chunks", F.when(F.size(chunks) > 0, chunks).when(said != "", F.array(said)))
+    legacy = legacy.select(*keys, F.posexplode("chunks").alias("k", "text")).withColumn("idx", F.col("k") + 1)
+    fields = A.legacy_fields(F.col("text"))
+    legacy = legacy.withColumns({f: fields.get(f, F.lit("")) for f in A.FIELD_KEYS}).withColumns({"severity_label": F.lit(""), "confidence_label": F.lit(""), "type": A.inferred_type(F.col("text"))})
+    legacy = legacy.withColumn("id", V.item_id(F.col("code"), F.col("idx"), F.col("text"))).drop("k")
+    return normalise_items(structured).unionByName(legacy)
+
+
 def normalise_items(items: DataFrame) -> DataFrame:
-    """Vocabulary unified, labels added, no-action findings re-typed, text and id of each item computed."""
+    """Vocabulary unified, labels added, the type told or inferred (a finding without impact or action is none), text and
+    id of each item computed. Items have ``told``, ``plain`` and ``whole`` as in ``report_items``, or ``type`` alone."""
     labels = {"severity_label": (SEVERITIES, "severity"), "confidence_label": (CONFIDENCES, "confidence")}
     out = items.withColumn("severity", severity(F.col("severity"))).withColumn("confidence", confidence(F.col("confidence")))
     for name, (table, source) in labels.items():
         out = out.withColumn(name, F.coalesce(F.create_map(*[F.lit(x) for p in table.items() for x in p])[F.col(source)], F.lit("")))
-    out = out.withColumn("type", F.when(no_action(F.col("impact"), F.col("suggestion")), "non_issue").otherwise(F.when(F.col("type").isin(*TYPES), F.col("type")).otherwise("issue")))
     out = out.withColumn("text", item_text())
-    return out.withColumn("id", V.item_id(F.col("code"), F.col("idx"), F.col("text")))
+    if "told" in out.columns:
+        kind = F.coalesce("told", A.inferred_type(F.when(F.col("plain"), F.col("whole")).otherwise(F.col("text"))))
+    else:
+        kind = F.when(F.col("type").isin(*TYPES), F.col("type")).otherwise("issue")
+    out = out.withColumn("type", F.when(no_action(F.col("impact"), F.col("suggestion")), "non_issue").otherwise(kind))
+    return out.drop("told", "plain", "whole").withColumn("id", V.item_id(F.col("code"), F.col("idx"), F.col("text")))
+
+
+def media_text(item: dict[str, Column], labels: dict[str, str]) -> Column:
+    """Description, then the labelled details that are filled, one a line."""
+    return F.concat_ws("\n", F.nullif(F.trim(item["description"]), F.lit("")), *[F.when(F.trim(X.text_of(item[k])) != "", F.concat(F.lit(f"{v}："), F.trim(item[k]))) for k, v in labels.items()])
 
 
 def deduplicate(items: DataFrame, by: tuple[str, ...] = ("task_id", "code")) -> DataFrame:
