@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 LANGUAGE_LABELS = {"zh": "中文为主", "mixed": "中英混合", "latin": "拉丁语系为主", "other": "其他语种为主", "uncertain": "语种特征较少，需人工确认", "unknown": "未识别"}
 CONTEXT, LINE_LIMIT = 45, 80
 
+# The scripts' ranges.
 HAN = "[\\x{4e00}-\\x{9fff}]"
 KANA = "[\\x{3040}-\\x{30ff}\\x{31f0}-\\x{31ff}]"
 HANGUL = "[\\x{1100}-\\x{11ff}\\x{3130}-\\x{318f}\\x{ac00}-\\x{d7af}]"
 OTHER_LETTER = "[\\p{L}&&[^\\p{IsLatin}]&&[^\\x{4e00}-\\x{9fff}\\x{3040}-\\x{30ff}\\x{31f0}-\\x{31ff}\\x{1100}-\\x{11ff}\\x{3130}-\\x{318f}\\x{ac00}-\\x{d7af}]]"
-#: A run of technical characters that holds both a digit and an ASCII letter: a model number, not prose.
-IDENTIFIER = "(?=[A-Za-z0-9_.:/+#-]*[0-9])(?=[A-Za-z0-9_.:/+#-]*[A-Za-z])[A-Za-z0-9][A-Za-z0-9_.:/+#-]*"
+#: A run of technical characters that holds both a digit and an ASCII letter (a model number, not prose), or, in the group,
+#: any other such run. Each run is read once from its start, so the time grows with the text only.
+IDENTIFIER = "(?:[A-Za-z][A-Za-z_.:/+#-]*+[0-9]|[0-9][0-9_.:/+#-]*+[A-Za-z])[A-Za-z0-9_.:/+#-]*+|([A-Za-z0-9][A-Za-z0-9_.:/+#-]*+)"
+#: Whatever may be a letter of another script than Latin; texts without any need no closer look.
+MAYBE_OTHER = "[\\x{b5}\\x{2b9}-\\x{2df}\\x{2e5}-\\x{10ffff}]"
 
 # Patterns of hard tokens and of headings, and what is stripped from a token.
 TOKEN_EDGE = " \t\r\n,.;:，。；：、()（）[]【】<>《》\"'“”‘’"
@@ -47,12 +51,18 @@ def count(value: Column, pattern: str) -> Column:
 def language_counts(text: Column) -> dict[str, Column]:
     """Character counts by script; Latin letters of model numbers do not count."""
     value = text_of(text)
+    prose = F.when(value.rlike("[0-9]"), F.regexp_replace(value, IDENTIFIER, "$1")).otherwise(value)
+    others = (F.octet_length(value) > F.length(value)) & value.rlike(MAYBE_OTHER)
+
+    def letters(pattern: str) -> Column:
+        return F.when(others, count(value, pattern)).otherwise(0)
+
     return {
-        "cjk": count(value, HAN),
-        "latin": count(F.regexp_replace(value, IDENTIFIER, ""), "\\p{IsLatin}"),
-        "japanese": count(value, KANA),
-        "hangul": count(value, HANGUL),
-        "other": count(value, OTHER_LETTER),
+        "cjk": letters(HAN),
+        "latin": F.length(F.regexp_replace(prose, "\\P{IsLatin}+", "")),
+        "japanese": letters(KANA),
+        "hangul": letters(HANGUL),
+        "other": letters(OTHER_LETTER),
     }
 
 
