@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -24,18 +28,60 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/docsieve-{spark.sparkContext.applicationId}"
 
 
-def clear_intermediates(spark: SparkSession) -> None:
-    """Remove all tables that this application has written to the shared folder; results read from them must be saved before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder; results read from them must be saved before."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def persist_table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that its lineage ends in files every executor sees."""
+_written: ContextVar[list[tuple[str, bool]] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def tables_written() -> Iterator[list[str]]:
+    """Collects the paths of all tables that are written and kept inside, to be removed once they are not needed."""
+    paths: list[str] = []
+    token = _written.set(found := [])
+    try:
+        yield paths
+    finally:
+        _written.reset(token)
+        paths += [p for p, _ in found]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end, but for those with ``keep``."""
+    token = _written.set(found := [])
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        remove_tables(spark, [p for p, keep in found if not keep])
+        outer = _written.get()
+        if outer is not None:
+            outer += [(p, False) for p, keep in found if keep]
+
+
+def persist_table(df: DataFrame, name: str, partition_by: str | None = None, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so that its lineage ends in files every executor sees. The shuffle
+    files of the write are given back at once, not when the driver next collects its garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+    found = _written.get()
+    if found is not None:
+        found.append((path, keep))
     schema = df.schema
     return spark.read.schema(schema).parquet(path)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import persist_table
+from docsieve.llm.common import persist_table, scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,15 +32,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Self loops and repeated edges are harmless. The number of rounds grows with the logarithm of the longest path;
     only a count and a hash of the edges come to the driver.
     """
-    cur = persist_table(edges.filter("a <> b").select("a", "b").distinct(), "cc")
-    last = _mark(cur)
-    if not last[0]:
-        return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    while True:
-        cur = persist_table(_small_star(_large_star(cur)), "cc")
-        now = _mark(cur)
-        if now == last:
-            break
-        last = now
-    roots = cur.select(F.col("b").alias("node")).distinct()
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
+    with scratch(edges.sparkSession):
+        cur = persist_table(edges.filter("a <> b").select("a", "b").distinct(), "cc")
+        last, now = None, _mark(cur)
+        while now[0] and now != last:
+            cur, last = persist_table(_small_star(_large_star(cur)), "cc"), now
+            now = _mark(cur)
+        roots = cur.select(F.col("b").alias("node")).distinct()
+        found = cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
+        return persist_table(found, "cc-roots", keep=True)

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import ascii_lower, persist_table, whole_text
+from docsieve.llm.common import ascii_lower, persist_table, scratch, whole_text
 
 BROADCAST_SLOTS = 1 << 18  # a directory of more slots (24 bytes each) is joined by a shuffle
 
@@ -70,20 +70,21 @@ def in_bucket(rows: DataFrame, directory: DataFrame, h: str) -> DataFrame:
 def build_index(keyed: DataFrame, capacity: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """``keyed`` has _xd_id, _xd_norm, h. Returns the directory, the index (bucket, h, keep_id, group_size, n_texts, kind),
     its chained hashes (h) and their texts (h, chain_text, keep_id, group_size)."""
-    entries = keyed.groupBy("h", "_xd_norm").agg(F.max("_xd_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    entries = persist_table(entries.drop("_xd_norm"), "dedup-entries")
-    directory = persist_table(build_directory(entries, capacity), "dedup-directory")
-    owned = (
-        in_bucket(entries, directory, "h")
-        .withColumnRenamed("_xd_bucket", "bucket")
-        .repartitionByRange("bucket")
-        .groupBy("bucket", "h")
-        .agg(F.count(F.lit(1)).alias("n_texts"), F.sum("group_size").alias("group_size"), F.max("keep_id").alias("keep_id"))
-    )
-    kind = F.when(F.col("n_texts") > 1, "chain").when(F.col("group_size") > 1, "copies").otherwise("single")
-    index = persist_table(owned.withColumn("kind", kind), "dedup-index", partition_by="kind")
-    # A table of its own, so that its true size decides between a broadcast and a shuffle of the texts.
-    chained = persist_table(index.filter("kind = 'chain'").select("h"), "dedup-chains")
+    with scratch(keyed.sparkSession):
+        entries = keyed.groupBy("h", "_xd_norm").agg(F.max("_xd_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        entries = persist_table(entries.drop("_xd_norm"), "dedup-entries")
+        directory = persist_table(build_directory(entries, capacity), "dedup-directory", keep=True)
+        owned = (
+            in_bucket(entries, directory, "h")
+            .withColumnRenamed("_xd_bucket", "bucket")
+            .repartitionByRange("bucket")
+            .groupBy("bucket", "h")
+            .agg(F.count(F.lit(1)).alias("n_texts"), F.sum("group_size").alias("group_size"), F.max("keep_id").alias("keep_id"))
+        )
+        kind = F.when(F.col("n_texts") > 1, "chain").when(F.col("group_size") > 1, "copies").otherwise("single")
+        index = persist_table(owned.withColumn("kind", kind), "dedup-index", partition_by="kind", keep=True)
+        # A table of its own, so that its true size decides between a broadcast and a shuffle of the texts.
+        chained = persist_table(index.filter("kind = 'chain'").select("h"), "dedup-chains", keep=True)
     texts = keyed.join(chained, "h").groupBy("h", F.col("_xd_norm").alias("chain_text"))
     return directory, index, chained, texts.agg(F.max("_xd_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
@@ -128,6 +129,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     marked = mark_copies(docs, id_col, text_col).filter("_xd_kept")
-    kept = persist_table(marked.select(F.struct(*columns).alias("_xd_row"), whole_text(text_col).alias("_xd_text"), "_xd_sha256", "_xd_group_size"), "dedup-kept")
+    kept = persist_table(marked.select(F.struct(*columns).alias("_xd_row"), whole_text(text_col).alias("_xd_text"), "_xd_sha256", "_xd_group_size"), "dedup-kept", keep=True)
     copied = kept.filter("_xd_group_size > 1").groupBy("_xd_sha256").agg(F.max_by("_xd_row", "_xd_text").alias("_xd_row"))
     return kept.filter("_xd_group_size = 1").select("_xd_row").unionByName(copied.select("_xd_row")).select("_xd_row.*")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import persist_table
+from docsieve.llm.common import persist_table, scratch
 
 M, EF_BUILD, EF_SEARCH, SHARD_ROWS, BLOCK = 16, 64, 128, 8192, 512
 
@@ -208,7 +208,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEAR
     before = spark.conf.get(rows)
     spark.conf.set(rows, "4")
     try:
-        return persist_table(dealt.mapInPandas(find, "query_id long, vec_id long, score double"), "hnsw-found")
+        return persist_table(dealt.mapInPandas(find, "query_id long, vec_id long, score double"), "hnsw-found", keep=True)
     finally:
         spark.conf.set(rows, before)
 
@@ -218,9 +218,9 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "ve
     whole = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     usual = whole.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     rows = whole.filter(F.size("v") == F.lit(usual["n"] if usual else 0))
-    index = build_index(rows, k + 1, shard_rows)
     queries = rows.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("v").alias("q")).groupBy("query_id").agg(F.min("q").alias("q"))
-    found = search_index(index, queries, k, ef)
+    with scratch(vectors.sparkSession):
+        found = search_index(build_index(rows, k + 1, shard_rows), queries, k, ef)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsieve.llm.common import persist_table
+from docsieve.llm.common import persist_table, scratch
 from docsieve.llm.components import connected_components
 
 WIDTHS = (13, 13, 13, 13, 12)
@@ -87,11 +87,12 @@ def _components(nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fp (long), component_id (the smallest id reachable over links)."""
-    fps = persist_table(docs.select(F.col(id_col).alias("doc_id"), simhash_udf(F.coalesce(F.col(text_col), F.lit(""))).alias("fp")), "simhash")
-    nodes = persist_table(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    # Tables of their own, so that Spark can split a very large component in the join.
-    placed = persist_table(_components(nodes), "simhash-placed")
-    smallest = persist_table(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-roots")
+    with scratch(docs.sparkSession):
+        fps = persist_table(docs.select(F.col(id_col).alias("doc_id"), simhash_udf(F.coalesce(F.col(text_col), F.lit(""))).alias("fp")), "simhash", keep=True)
+        nodes = persist_table(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
+        # Tables of their own, so that Spark can split a very large component in the join.
+        placed = persist_table(_components(nodes), "simhash-placed", keep=True)
+        smallest = persist_table(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-roots", keep=True)
     members = placed.join(smallest, "root").select("fp", "component_id")
     return fps.join(members, "fp").select("doc_id", "fp", "component_id")
 
@@ -107,8 +108,9 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     fp = simhash_udf(F.coalesce(F.col(text_col), F.lit("")))
-    rows = persist_table(docs.select(F.struct(*columns).alias("_nd_row"), F.col(id_col).alias("_nd_id"), fp.alias("fp"), F.monotonically_increasing_id().alias("_nd_key")), "simhash-rows")
+    rows = persist_table(docs.select(F.struct(*columns).alias("_nd_row"), F.col(id_col).alias("_nd_id"), fp.alias("fp"), F.monotonically_increasing_id().alias("_nd_key")), "simhash-rows", keep=True)
     first = F.min(F.struct(F.col("_nd_id").isNull().alias("no_id"), F.col("_nd_id").alias("id"), F.col("_nd_key").alias("key")))
-    nodes = persist_table(rows.groupBy("fp").agg(first.alias("first")), "simhash-nodes")
-    kept = _components(nodes).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_nd_key"))
+    with scratch(docs.sparkSession):
+        nodes = persist_table(rows.groupBy("fp").agg(first.alias("first")), "simhash-nodes")
+        kept = persist_table(_components(nodes).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_nd_key")), "simhash-kept", keep=True)
     return rows.join(kept, "_nd_key").select("_nd_row.*")

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsieve.llm.common import persist_table, whole_text
+from docsieve.llm.common import persist_table, scratch, whole_text
 from docsieve.llm.piece_sampling import mix
 
 WINDOW, GRAM, GROUP = 200, 32, 64
@@ -44,7 +44,7 @@ SIDE = WINDOW - GRAM
 WIDTHS = (SIDE + 1, 43, 11, 3, 1)  # of the cells, by how often a group was split
 POSITION_BITS = 20
 STEP = (1 << POSITION_BITS) - WINDOW
-BATCH = 3_000_000  # bytes whose suffix arrays are built side by side
+BATCH = 1_000_000  # bytes whose suffix arrays are built side by side
 
 
 def _groups_in_descent(order: np.ndarray, group: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -157,8 +157,9 @@ def suffix_arrays(symbols: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np
     n = len(symbols)
     key = np.repeat(np.arange(len(begin)) * (int(symbols.max(initial=0)) + 1), end - begin) + symbols
     order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
-    first = np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])))
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    del key
     group = np.full(n + 1, -1)
     group[order] = np.repeat(first, np.diff(first, append=n))
     return _emitted(group, _groups_in_descent(order, group, begin, end), begin, end)
@@ -406,19 +407,20 @@ def _masks(found: DataFrame, group: int, level: int = 0) -> DataFrame:
 def find_repeats(keyed: DataFrame, group: int = GROUP) -> DataFrame:
     """``keyed`` (k1, k2, text) -> k1, k2, spans: for each text with repeats, its (first, run, mask) stretches; a null
     mask means all windows of the stretch."""
-    texts = persist_table(_packed(keyed, []).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m"), F.first("z").alias("z")), "repeats-texts")
-    rows = persist_table(_stretch_rows(texts), "repeats-stretches")
-    mixed = (F.min("c1") != F.max("c1")) | (F.min("c2") != F.max("c2"))
-    anchors = rows.groupBy("anchor").agg(F.sum("m").alias("n"), mixed.alias("mixed")).filter("n > 1").select("anchor", "mixed")
-    # A table of its own: the join then has a plain exchange on both sides, and Spark can split a very common anchor.
-    anchors = persist_table(anchors, "repeats-anchors")
-    held = persist_table(rows.join(anchors, "anchor"), "repeats-held")
-    distinct = held.filter("mixed").groupBy("anchor", "c1", "c2").agg(F.sum("m").alias("n"), F.min(F.struct("k1", "k2", "first", "off", "run")).alias("at"))
-    want = distinct.select("at.k1", "at.k2", F.struct("anchor", "c1", "c2", "n", "at.first", "at.off", "at.run").alias("w")).groupBy("k1", "k2").agg(F.collect_list("w").alias("want"))
-    found = persist_table(_fetch(texts.join(want, ["k1", "k2"])), "repeats-bytes")
-    masks = persist_table(_masks(found, group), "repeats-masks")
-    marked = held.join(masks, ["anchor", "c1", "c2"], "left").filter("not mixed or mask is not null")
-    return persist_table(marked.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "run", "mask")).alias("spans")), "repeats-spans")
+    with scratch(keyed.sparkSession):
+        texts = persist_table(_packed(keyed, []).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m"), F.first("z").alias("z")), "repeats-texts")
+        rows = persist_table(_stretch_rows(texts), "repeats-stretches")
+        mixed = (F.min("c1") != F.max("c1")) | (F.min("c2") != F.max("c2"))
+        anchors = rows.groupBy("anchor").agg(F.sum("m").alias("n"), mixed.alias("mixed")).filter("n > 1").select("anchor", "mixed")
+        # A table of its own: the join then has a plain exchange on both sides, and Spark can split a very common anchor.
+        anchors = persist_table(anchors, "repeats-anchors")
+        held = persist_table(rows.join(anchors, "anchor"), "repeats-held")
+        distinct = held.filter("mixed").groupBy("anchor", "c1", "c2").agg(F.sum("m").alias("n"), F.min(F.struct("k1", "k2", "first", "off", "run")).alias("at"))
+        want = distinct.select("at.k1", "at.k2", F.struct("anchor", "c1", "c2", "n", "at.first", "at.off", "at.run").alias("w")).groupBy("k1", "k2").agg(F.collect_list("w").alias("want"))
+        found = persist_table(_fetch(texts.join(want, ["k1", "k2"])), "repeats-bytes")
+        masks = persist_table(_masks(found, group), "repeats-masks")
+        marked = held.join(masks, ["anchor", "c1", "c2"], "left").filter("not mixed or mask is not null")
+        return persist_table(marked.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "run", "mask")).alias("spans")), "repeats-spans", keep=True)
 
 
 def covered(n: int, spans: list[dict] | None) -> np.ndarray:
