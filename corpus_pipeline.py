@@ -16,12 +16,14 @@ _left: list[str] = []
 
 
 def _stage(operator: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage whose intermediate tables go when the next one begins, since its result is saved by then."""
+    """A stage that removes the intermediate tables of those before it, unless ``docs`` still reads them: a saved result does not."""
 
     @wraps(operator)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove_tables(spark, _left)
-        _left.clear()
+        read = "\n".join(docs.inputFiles()) if _left else ""
+        done = [p for p in _left if p.rsplit("/", 1)[-1] not in read]
+        remove_tables(spark, done)
+        _left[:] = [p for p in _left if p not in done]
         with tables_written() as paths:
             out = operator(spark, docs, sf_dir)
         _left.extend(paths)
