@@ -140,14 +140,24 @@ def refresh_stats(tasks: DataFrame, stats: DataFrame, compute) -> DataFrame:
 
 
 def submit_once(requests: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Of requests with one token, the first; requests without a token all count."""
+    """Of requests with one token, the first; requests without a token all count and are not sorted."""
     first = Window.partitionBy(*key).orderBy(*order)
     missing = F.col(key[-1]).isNull() | (F.col(key[-1]) == "")
-    return requests.withColumn("_n", F.row_number().over(first)).filter(missing | (F.col("_n") == 1)).drop("_n")
+    named = requests.filter(~missing).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    return requests.filter(missing).unionByName(named)
 
 
 def batches(rows: DataFrame, by: list[str], order: list[str], size: int) -> DataFrame:
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / size).cast("long"))
+    """Batches of ``size`` rows of each group, in order. A group may be large, so rows are numbered within ranges of
+    (group, order); what a group has in the ranges before is added. ``order`` must tell the rows of a group apart."""
+    dealt = rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id())
+    counts = dealt.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")
+    starts = counts.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("_range").alias("_of"), before.alias("_before"))
+    here = F.row_number().over(Window.partitionBy("_range", *by).orderBy(*order))
+    same = [F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)]
+    placed = dealt.withColumn("_here", here).join(starts, [F.col("_range") == F.col("_of"), *same])
+    return placed.withColumn("batch", F.floor((F.col("_before") + F.col("_here") - 1) / size).cast("long")).select(*rows.columns, "batch")
 
 
 def missing_codes(asked: DataFrame, answered: DataFrame, by: list[str]) -> DataFrame:

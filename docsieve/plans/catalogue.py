@@ -11,6 +11,7 @@ from docsieve.functions import values as V
 from docsieve.operators import operations as O
 from docsieve.operators import report as R
 from docsieve.operators import terms as T
+from docsieve.plans import twins
 from docsieve.sources.tables import items, read, tasks
 from docsieve.streaming import guards
 
@@ -44,6 +45,7 @@ SEVERITY_RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'm
 SENSITIVE = [T.SensitiveRule("worthless", "of little use"), T.SensitiveRule("trash", "waste"), T.SensitiveRule("disgusting", "unpleasant"), T.SensitiveRule("the", "der"), T.SensitiveRule("und", "and"), T.SensitiveRule("ción", "cion")]
 SENSITIVE_SQL = "rules(invalid, standard) AS (VALUES ('worthless', 'of little use'), ('trash', 'waste'), ('disgusting', 'unpleasant'), ('the', 'der'), ('und', 'and'), ('ción', 'cion'))"
 COMMON = [T.CommonRule("Was", ("that", "with")), T.CommonRule("einen", ("eine", "der", "Der")), T.CommonRule("THE")]
+COMMON_TERMS = [("Was", "that", "discouraged"), ("Was", "with", "discouraged"), ("Was", "Was", "case"), ("einen", "eine", "discouraged"), ("einen", "der", "discouraged"), ("einen", "Der", "discouraged"), ("einen", "einen", "case"), ("THE", "THE", "case")]
 
 
 # ---------------------------------------------------------------- term checks
@@ -63,7 +65,7 @@ def op_sensitive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.sensitive_summary(read(spark, sf_dir, "documents"), SENSITIVE, limit=2)
 
 
-@query()
+@query(twins.sensitive_items(SENSITIVE_SQL))
 def op_sensitive_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.sensitive_items(read(spark, sf_dir, "documents"), SENSITIVE)
 
@@ -76,12 +78,12 @@ def op_common_discouraged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "standard", "observed").agg(F.count(F.lit(1)).alias("hits"))
 
 
-@query()
+@query(twins.common_terms(COMMON_TERMS))
 def op_common_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.common_matches(read(spark, sf_dir, "documents"), COMMON).select("doc_id", "observed", "standard", "kind", "hits", "first_pos")
 
 
-@query()
+@query(twins.common_items(COMMON_TERMS))
 def op_common_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.common_items(read(spark, sf_dir, "documents"), COMMON, limit=5)
 
@@ -97,10 +99,7 @@ def op_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", X.line_number(F.col("text"), at).alias("line"), X.excerpt(F.col("text"), at, F.lit(3)).alias("excerpt"))
 
 
-@query("""WITH c AS (SELECT doc_id, text, len(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]')) AS cjk,
-      length(regexp_replace(array_to_string(list_transform(string_split_regex(text, '\\s'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN array_to_string(list_transform(regexp_extract_all(w, '[A-Za-z0-9][A-Za-z0-9_.:/+#-]*|[^A-Za-z0-9]'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') AND regexp_matches(t, '[A-Za-z]') THEN '' ELSE t END), '') ELSE w END), ' '), '[^\\p{Latin}]', '', 'g')) AS latin FROM documents)
-    SELECT doc_id, CASE WHEN cjk >= 40 AND latin >= 80 AND least(cjk, latin) / greatest(cjk, latin) >= 0.2 THEN 'mixed' WHEN cjk >= greatest(20, latin) THEN 'zh' WHEN latin >= greatest(40, cjk) THEN 'latin'
-      WHEN cjk > 0 OR latin > 0 THEN 'uncertain' ELSE 'unknown' END AS language FROM c""")
+@query(f"WITH {twins.LANGUAGES} SELECT doc_id, language FROM languages")
 def op_language_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", X.estimate_language(F.col("text")).alias("language"))
 
@@ -111,7 +110,7 @@ def op_static_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", X.visible_length(F.col("text")).alias("nonspace_chars"), X.paragraphs(F.col("text")).alias("paragraphs"))
 
 
-@query()
+@query(twins.HARD_TOKENS)
 def op_hard_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.static_profile(read(spark, sf_dir, "documents")).select("doc_id", "language", F.size("tokens").alias("n_tokens"), F.array_join(X.by_length(F.col("tokens")), "、").alias("preview"), F.array_join("headings", "、").alias("headings"))
 
@@ -126,7 +125,7 @@ def op_token_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("a", "b", F.array_join(F.array_sort(F.array_except("ta", "tb")), ",").alias("only_a"), F.array_join(F.array_sort(F.array_except("tb", "ta")), ",").alias("only_b"))
 
 
-@query()
+@query(twins.PROFILE_DIFFERENCE)
 def op_profile_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     pairs = docs.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
@@ -238,9 +237,10 @@ def op_item_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ITEMS_SQL} SELECT task_id, code, type, category, description, min(idx) AS idx, count(*) AS merged, min_by(severity, {CONFIDENCE_RANK} * 1000000000000 + {SEVERITY_RANK} * 100000000000 + idx) AS severity,
-    min_by(confidence, {CONFIDENCE_RANK} * 1000000000000 + {SEVERITY_RANK} * 100000000000 + idx) AS confidence FROM items GROUP BY task_id, code, type, category, description""")
+    min_by(confidence, {CONFIDENCE_RANK} * 1000000000000 + {SEVERITY_RANK} * 100000000000 + idx) AS confidence,
+    list_reduce(list(location ORDER BY idx, location), lambda a, b: CASE WHEN a = '' THEN b WHEN b = '' OR contains(a, b) THEN a ELSE a || '；' || b END) AS location FROM items GROUP BY task_id, code, type, category, description""")
 def op_item_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.deduplicate(items(spark, sf_dir)).select("task_id", "code", "type", "category", "description", "idx", "merged", "severity", "confidence")
+    return R.deduplicate(items(spark, sf_dir)).select("task_id", "code", "type", "category", "description", "idx", "merged", "severity", "confidence", "location")
 
 
 @query(f"WITH {ITEMS_SQL} SELECT task_id, code, idx, type, row_number() OVER (PARTITION BY task_id ORDER BY {TYPE_RANK}, {CONFIDENCE_RANK}, {SEVERITY_RANK}, idx, code) AS rank FROM items")
@@ -372,14 +372,14 @@ def op_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- sampling, values, streams
 
 
-@query()
+@query(twins.PAGE_SAMPLING)
 def op_page_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", (F.length("text") / 40).cast("int").alias("total"))
     candidates = F.array(*[(F.col("doc_id") * k % 50 + 1).cast("int") for k in (3, 7, 11)])
     return docs.select("doc_id", "total", F.array_join(sampling.sampled_pages(F.col("total"), F.lit(12), candidates).cast("array<string>"), ",").alias("pages"))
 
 
-@query()
+@query(twins.TIME_SAMPLING)
 def op_time_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select("event_id", F.col("value").alias("seconds"))
     return e.select("event_id", F.array_join(sampling.sampled_times(F.col("seconds"), F.lit(16)).cast("array<string>"), ",").alias("moments"), V.media_time(F.col("seconds")).alias("label"))
@@ -399,6 +399,6 @@ def op_stream_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", so_far.alias("chars"), (so_far > 2000).alias("over_budget"))
 
 
-@query()
+@query(twins.REPEAT_TAIL)
 def op_repeat_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", guards.repeated_tail(F.col("text")).alias("repeats"))
