@@ -147,10 +147,21 @@ def submit_once(requests: DataFrame, key: list[str], order: list[str]) -> DataFr
     return requests.filter(missing).unionByName(named)
 
 
+def _range_of(rows: DataFrame, key: list[str]) -> Column:
+    """The number of a row's range of ``key``: as many ranges as the session has shuffle partitions, parted by keys that are
+    picked by their hash, so that every evaluation deals the rows alike. Only those keys come to the driver."""
+    most = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1)
+    picked = rows.select(*key).orderBy(F.xxhash64(*key)).limit(most).collect()
+    if not picked:
+        return F.lit(0)
+    cuts = [F.struct(*[F.lit(r[c]).cast(rows.schema[c].dataType).alias(c) for c in key]) for r in picked]
+    return F.size(F.filter(F.array(*cuts), lambda cut: cut <= F.struct(*key)))
+
+
 def batches(rows: DataFrame, by: list[str], order: list[str], size: int) -> DataFrame:
     """Batches of ``size`` rows of each group, in order. A group may be large, so rows are numbered within ranges of
     (group, order); what a group has in the ranges before is added. ``order`` must tell the rows of a group apart."""
-    dealt = rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id())
+    dealt = rows.withColumn("_range", _range_of(rows, [*by, *order]))
     counts = dealt.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")
     starts = counts.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("_range").alias("_of"), before.alias("_before"))

@@ -11,7 +11,8 @@ from docsieve.operators import lifecycle as L
 from docsieve.operators import report as R
 from docsieve.operators import rule_tables as RT
 from docsieve.plans.catalogue import ITEMS_SQL, TASKS_SQL, query
-from docsieve.sources.tables import items, read, tasks
+from docsieve.sources.tables import decoded, items, read, tasks
+from docsieve.streaming import frames
 
 
 # ---------------------------------------------------------------- answers
@@ -277,3 +278,31 @@ def op_snapshot_or_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("code"), F.when(F.col("o_orderkey") % 2 == 0, "own").alias("name"), F.lit(None).cast("string").alias("prompt"))
     live = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("prompt"))
     return L.snapshot_or_live(t, live).select("task_id", "name", "prompt")
+
+
+# ---------------------------------------------------------------- answer streams, files
+
+
+@query("""WITH l AS (SELECT conv_id, turn, role, text, CASE WHEN conv_id % 7 = 3 AND turn = 2 THEN 'bad' WHEN conv_id % 5 = 0 AND turn >= 4 THEN 'done' WHEN role = 'system' THEN 'none' ELSE 'data' END AS kind FROM conversations),
+    s AS (SELECT *, coalesce(bool_or(kind <> 'data') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM l WHERE kind <> 'none'),
+    d AS (SELECT *, kind = 'data' AND role = 'assistant' AND text <> '' AS says, kind = 'data' AND role = 'user' AND text <> '' AS thinks FROM s WHERE NOT ended),
+    g AS (SELECT conv_id AS request_id, count(*) FILTER (kind = 'data') AS frames, bool_or(kind = 'done') AS done, count(*) FILTER (says) AS content_chunks, CAST(coalesce(sum(length(text)) FILTER (says), 0) AS BIGINT) AS content_chars,
+      count(*) FILTER (thinks) AS reasoning_chunks, CAST(coalesce(sum(length(text)) FILTER (thinks), 0) AS BIGINT) AS reasoning_chars, bool_or(kind = 'bad') AS bad, trim(coalesce(string_agg(text, '' ORDER BY turn) FILTER (says), ''), chr(10) || ' ') AS answer FROM d GROUP BY conv_id)
+    SELECT request_id, frames, done, content_chunks, content_chars, reasoning_chunks, reasoning_chars, md5(answer) AS answer, CASE WHEN bad THEN 'bad' WHEN answer <> '' THEN 'ok' WHEN reasoning_chunks > 0 THEN 'reasoning only' ELSE 'empty' END AS outcome FROM g""")
+def op_stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as answer streams: what users say is reasoning, what assistants say is content."""
+    c = read(spark, sf_dir, "conversations")
+
+    def told(field: str):
+        return F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias(field)).alias("delta"))).alias("choices"))))
+
+    line = F.when((F.col("conv_id") % 7 == 3) & (F.col("turn") == 2), "data: {cut").when((F.col("conv_id") % 5 == 0) & (F.col("turn") >= 4), "data: [DONE]")
+    line = line.when(F.col("role") == "system", ": keep").when(F.col("role") == "user", told("reasoning_content")).otherwise(told("content"))
+    stats = frames.chunk_statistics(frames.read_frames(c.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), line.alias("line"))))
+    return stats.select("request_id", "frames", "done", "content_chunks", "content_chars", "reasoning_chunks", "reasoning_chars", F.md5("answer").alias("answer"), "outcome")
+
+
+@query("SELECT doc_id, md5(text) AS text FROM documents")
+def op_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(decoded(F.encode("text", "UTF-8"))).alias("text"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,3 +38,22 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("").alias("suggestion"),
         F.when(F.col("l_linestatus") == "F", "accepted").otherwise("rejected").alias("acceptance"),
     )
+
+
+@F.pandas_udf(T.StringType())
+def _chinese(contents: pd.Series) -> pd.Series:
+    def read_one(raw: bytes | None) -> str | None:
+        try:
+            return None if raw is None else bytes(raw).decode("gb18030")
+        except UnicodeDecodeError:
+            return None
+
+    return pd.Series([read_one(c) for c in contents], dtype=object)
+
+
+def decoded(content: Column, keep_mark: bool = True) -> Column:
+    """The text of a file's bytes: UTF-8, else GB18030, else null. The byte order mark stays, unless told otherwise (term
+    tables drop it). Python sees only what is no UTF-8."""
+    plain = F.try_validate_utf8(content.cast("string"))
+    text = F.coalesce(plain, _chinese(F.when(plain.isNull(), content)))
+    return text if keep_mark else F.regexp_replace(text, "^\\x{feff}", "")
