@@ -63,7 +63,8 @@ STATE = "chars long, tail string, answered boolean, chunks long, thought long, s
 
 def watch(chunks: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
     """``chunks`` (request_id, seq, content, reasoning, thinking_disabled) as a stream -> verdict of each chunk until a
-    request is stopped. State per request has a fixed size and goes after an hour without a chunk."""
+    request is stopped. State per request has a fixed size and goes after an hour without a chunk. For streams that go on:
+    as state waits for the clock, batches without data never end by themselves."""
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

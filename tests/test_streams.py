@@ -16,7 +16,9 @@ from docsieve.streaming import frames, guards
 
 
 def streamed(spark, df, folder, plan, mode="append"):
-    """The rows that a streaming plan gives for a table, read file by file."""
+    """The rows that a streaming plan gives for a table, read file by file. Batches without data are off: state that waits
+    for the clock would ask for them without end."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     df.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     name = f"out_{abs(hash(str(folder)))}"
