@@ -27,13 +27,15 @@ def apply_progress(tasks: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def finish(tasks: DataFrame, ends: DataFrame) -> DataFrame:
-    """(task_id, end_status, claim_token, ended_at) onto running tasks of that token: completed, failed or canceled. A task
-    whose cancellation was asked for ends as canceled."""
-    e = ends.select("task_id", F.col("end_status").alias("_end"), F.col("claim_token").alias("_token"), F.col("ended_at").alias("_at"))
-    hit = F.coalesce((F.col("status") == "running") & F.col("_end").isNotNull() & owned(F.col("claim_token"), F.col("_token")), F.lit(False))
-    end = F.when(F.col("cancel_requested"), "canceled").otherwise(F.col("_end"))
-    out = tasks.join(e, "task_id", "left").withColumn("_hit", hit)
-    return out.withColumns({"finished_at": F.when(F.col("_hit"), F.col("_at")).otherwise(F.col("finished_at")), "status": F.when(F.col("_hit"), end).otherwise(F.col("status"))}).drop("_end", "_token", "_at", "_hit")
+    """(task_id, end_status, claim_token, ended_at) onto running tasks of that token: completed, failed or canceled. Of several
+    ends that fit a task the first counts (ties: by status). A task whose cancellation was asked for ends as canceled."""
+    e = ends.filter(F.col("end_status").isNotNull()).select("task_id", F.col("end_status").alias("_end"), F.col("claim_token").alias("_token"), F.col("ended_at").alias("_at"))
+    running = tasks.filter("status = 'running'").select("task_id", "claim_token").distinct()
+    fits = running.join(e, "task_id").filter(owned(F.col("claim_token"), F.col("_token")))
+    first = fits.groupBy("task_id").agg(F.min_by(F.struct("_end", "_at"), F.struct(F.col("_at").isNull(), "_at", "_end")).alias("_first"))
+    out = tasks.join(first, "task_id", "left").withColumn("_hit", (F.col("status") == "running") & F.col("_first").isNotNull())
+    end = F.when(F.col("cancel_requested"), "canceled").otherwise(F.col("_first._end"))
+    return out.withColumns({"finished_at": F.when(F.col("_hit"), F.col("_first._at")).otherwise(F.col("finished_at")), "status": F.when(F.col("_hit"), end).otherwise(F.col("status"))}).drop("_first", "_hit")
 
 
 def wanted_ids(ids: list, cap: int) -> list[int]:
@@ -61,7 +63,7 @@ def bulk_delete(tasks: DataFrame, ids: list, hits: DataFrame) -> tuple[DataFrame
 
 def clean_expired(tasks: DataFrame, due: DataFrame, now: Column) -> DataFrame:
     """The text of due tasks emptied and the time of it written; the rest as it was."""
-    marked = tasks.join(due.select("task_id", F.lit(True).alias("_due")), "task_id", "left")
+    marked = tasks.join(due.select("task_id").distinct().withColumn("_due", F.lit(True)), "task_id", "left")
     is_due = F.coalesce("_due", F.lit(False))
     return marked.withColumns({"document_text": F.when(is_due, F.lit(None).cast("string")).otherwise(F.col("document_text")), "cleaned_at": F.when(is_due, now).otherwise(F.col("cleaned_at"))}).drop("_due")
 
@@ -135,7 +137,7 @@ def put(reviews: Column, key: Column, value: Column) -> Column:
 def usage(files: DataFrame, tasks: DataFrame) -> DataFrame:
     """(task_id, bytes) -> per task: files, bytes, and whether they may be cleaned; finished tasks first, largest first."""
     sums = files.groupBy("task_id").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
-    return tasks.select("task_id", "status").join(sums, "task_id").withColumn("cleanable", F.col("status").isin(*DELETABLE))
+    return tasks.select("task_id", "status").join(sums, "task_id").withColumn("cleanable", F.col("status").isin(*DELETABLE)).orderBy(F.desc("cleanable"), F.desc("bytes"), "task_id")
 
 
 def in_check_order(results: DataFrame, checks: DataFrame) -> DataFrame:
@@ -150,6 +152,6 @@ def first_sort_order(checks: DataFrame, by: str = "task_type") -> DataFrame:
 
 
 def snapshot_or_live(tasks: DataFrame, live: DataFrame) -> DataFrame:
-    """A task's own snapshot of a check, or the live check of that code where it has none."""
-    found = live.select("code", F.col("name").alias("_name"), F.col("prompt").alias("_prompt"))
+    """A task's own snapshot of a check, or the live check of that code where it has none (of several, the least by name)."""
+    found = live.groupBy("code").agg(F.min(F.struct("name", "prompt")).alias("_live")).select("code", F.col("_live.name").alias("_name"), F.col("_live.prompt").alias("_prompt"))
     return tasks.join(found, "code", "left").withColumns({"name": F.coalesce("name", "_name"), "prompt": F.coalesce("prompt", "_prompt")}).drop("_name", "_prompt")

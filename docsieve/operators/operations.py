@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsieve.operators.ordered import numbered
+
 STATUSES = ("queued", "running", "completed", "failed", "canceled")
 
 
@@ -76,16 +78,18 @@ def without_twins(rows: DataFrame, key: list[str], flag: str) -> DataFrame:
     return rows.filter(~F.col(flag)).unionByName(rows.filter(flag).join(plain, key, "left_anti"))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str], keep_filled: tuple[str, ...] = ()) -> DataFrame:
-    """New rows replace old ones by key; ``keep_filled`` columns keep an old text that is not empty."""
-    o, n = old.alias("o"), new.alias("n")
-    joined = o.join(n, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in key], "full")
-    here = F.col(f"n.{key[0]}").isNotNull()
+def upsert(old: DataFrame, new: DataFrame, key: list[str], keep_filled: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
+    """New rows replace old ones by key (null keys are equal); ``keep_filled`` columns keep an old text that is not empty. Of
+    new rows with one key the last by ``order`` counts (ties, or no order: the largest row)."""
+    row = F.struct(*old.columns)
+    last = F.max_by(row, F.struct(*order, row.alias("_row"))).alias("_new")
+    n = new.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(last).withColumn("_here", F.lit(True))
+    joined = old.join(n, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)], "full")
     out = []
     for c in old.columns:
-        value = F.when(here, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
+        value = F.when(F.col("_here"), F.col("_new")[c]).otherwise(F.col(c))
         if c in keep_filled:
-            value = F.coalesce(F.nullif(F.col(f"o.{c}"), F.lit("")), F.col(f"n.{c}"))
+            value = F.when(F.col("_here"), F.coalesce(F.nullif(F.col(c), F.lit("")), F.col("_new")[c])).otherwise(F.col(c))
         out.append(value.alias(c))
     return joined.select(*out)
 
@@ -147,28 +151,9 @@ def submit_once(requests: DataFrame, key: list[str], order: list[str]) -> DataFr
     return requests.filter(missing).unionByName(named)
 
 
-def _range_of(rows: DataFrame, key: list[str]) -> Column:
-    """The number of a row's range of ``key``: as many ranges as the session has shuffle partitions, parted by keys that are
-    picked by their hash, so that every evaluation deals the rows alike. Only those keys come to the driver."""
-    most = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1)
-    picked = rows.select(*key).orderBy(F.xxhash64(*key)).limit(most).collect()
-    if not picked:
-        return F.lit(0)
-    cuts = [F.struct(*[F.lit(r[c]).cast(rows.schema[c].dataType).alias(c) for c in key]) for r in picked]
-    return F.size(F.filter(F.array(*cuts), lambda cut: cut <= F.struct(*key)))
-
-
 def batches(rows: DataFrame, by: list[str], order: list[str], size: int) -> DataFrame:
-    """Batches of ``size`` rows of each group, in order. A group may be large, so rows are numbered within ranges of
-    (group, order); what a group has in the ranges before is added. ``order`` must tell the rows of a group apart."""
-    dealt = rows.withColumn("_range", _range_of(rows, [*by, *order]))
-    counts = dealt.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")
-    starts = counts.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("_range").alias("_of"), before.alias("_before"))
-    here = F.row_number().over(Window.partitionBy("_range", *by).orderBy(*order))
-    same = [F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)]
-    placed = dealt.withColumn("_here", here).join(starts, [F.col("_range") == F.col("_of"), *same])
-    return placed.withColumn("batch", F.floor((F.col("_before") + F.col("_here") - 1) / size).cast("long")).select(*rows.columns, "batch")
+    """Batches of ``size`` rows of each group, in an order that tells the rows of a group apart."""
+    return numbered(rows, by, order, "_place").withColumn("batch", F.floor((F.col("_place") - 1) / size).cast("long")).select(*rows.columns, "batch")
 
 
 def missing_codes(asked: DataFrame, answered: DataFrame, by: list[str]) -> DataFrame:
@@ -177,7 +162,8 @@ def missing_codes(asked: DataFrame, answered: DataFrame, by: list[str]) -> DataF
 
 
 def reorder(rows: DataFrame, wanted: list[int], id_col: str, order_col: str) -> DataFrame:
-    """Named ids first in the given order, the rest as before, numbered by tens. For lists people keep by hand."""
-    place = F.array_position(F.array(*[F.lit(i) for i in wanted]), F.col(id_col))
-    order = Window.orderBy(F.when(place > 0, place).otherwise(F.lit(1 << 60)), order_col, id_col)
-    return rows.withColumn(order_col, (F.row_number().over(order) * 10).cast("long"))
+    """Named ids first in the given order (of an id named twice the first place counts), the rest as before, numbered by tens."""
+    place = F.array_position(F.array(*[F.lit(i) for i in wanted]).cast("array<bigint>"), F.col(id_col).cast("bigint")) if wanted else F.lit(0)
+    placed = rows.withColumns({"_first": F.when(place > 0, place).otherwise(F.lit(1 << 60)), "_old": F.col(order_col)})
+    done = numbered(placed, [], ["_first", "_old", id_col], "_n")
+    return done.select(*[(F.col("_n") * 10).alias(c) if c == order_col else F.col(c) for c in rows.columns])

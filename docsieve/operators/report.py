@@ -165,7 +165,7 @@ def rank_items(items: DataFrame, by: tuple[str, ...] = ("task_id", "code")) -> D
 
 
 def limit_items(ranked: DataFrame, limit: Column | int = V.ISSUE_LIMIT, by: tuple[str, ...] = ("task_id", "code")) -> DataFrame:
-    """The best items of each result."""
+    """The best items of each result: ``limit`` of them, but never more than the report shows at most (see ``issue_limit``)."""
     bound = F.lit(limit) if isinstance(limit, int) else limit
     return ranked.filter(F.col("rank") <= V.issue_limit(bound))
 
@@ -174,7 +174,7 @@ def limit_note(deduplicated: DataFrame, limit: int = V.ISSUE_LIMIT, by: tuple[st
     """What merging and limiting left out, for the results where they did."""
     kept = F.count(F.lit(1))
     note = deduplicated.groupBy(*by).agg(F.sum("merged").alias("original_count"), kept.alias("deduplicated_count"))
-    note = note.withColumn("duplicate_count", F.col("original_count") - F.col("deduplicated_count")).withColumn("displayed_count", F.least("deduplicated_count", F.lit(limit)))
+    note = note.withColumn("duplicate_count", F.col("original_count") - F.col("deduplicated_count")).withColumn("displayed_count", F.least("deduplicated_count", V.issue_limit(F.lit(limit)).cast("long")))
     note = note.withColumn("omitted_count", F.col("deduplicated_count") - F.col("displayed_count"))
     return note.filter("duplicate_count > 0 or omitted_count > 0")
 
