@@ -9,6 +9,7 @@ from pathlib import PurePosixPath
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsieve.functions import answers as A
 from docsieve.functions import text as X
@@ -183,39 +184,47 @@ def matched_reviews(rows: DataFrame, items: DataFrame) -> DataFrame:
     return r.select("task_id", "row_number", F.when(problem.isNull(), F.col("_c")).alias("code"), F.when(problem.isNull(), F.col("_i")).alias("item_id"), problem.alias("problem"))
 
 
-def _next_free(used: set[str], name: str) -> str:
-    if name not in used:
-        return name
-    path = PurePosixPath(name)
-    free = (str(path.with_name(f"{path.stem}-{k}{path.suffix}")) for k in range(2, NAMES + 1))
-    found = next((x for x in free if x not in used), None)
-    if found is None:
-        raise ValueError(f"more than {NAMES} files of the name {name}")
-    return found
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _walked(lists: pd.Series) -> pd.Series:
+    """The names of a group in order, each as it was given or with the first ending that is free then."""
+    out = []
+    for names in lists:
+        used: dict[str, int] = {}  # a name that is taken, and the last number that was tried for it
+        for x in names:
+            pick = x
+            if x in used:
+                path = PurePosixPath(x)
+                free = ((k, str(path.with_name(f"{path.stem}-{k}{path.suffix}"))) for k in range(used[x] + 1, NAMES + 1))
+                number, pick = next((f for f in free if f[1] not in used), (0, ""))
+                if not number:
+                    raise ValueError(f"more than {NAMES} files of the name {x}")
+                used[x] = number
+            used[pick] = 1  # each name is taken once, so the keys are the names in order
+        out.append(list(used))
+    return pd.Series(out)
 
 
 def unique_names(files: DataFrame, by: Sequence[str], on: str, name: str) -> DataFrame:
     """``unique_name``: the first file of a name in its group keeps it, each later one gets the first of ``-2``, ``-3``, … that
     is free then, before the suffix; NAMES files of one name at most, more stop the query. A made name may meet a given one
-    only if they differ in such endings, so only groups of names with one root are walked, and of those only the ones in
-    which a name repeats. ``on`` must tell the files of a group apart."""
+    only if they differ in such endings alone, so names are grouped by what is left without them. Where a group has one name
+    only, files are numbered; only where several meet and one of them repeats are they walked, in the order of ``on`` (which
+    must tell the files of a group apart)."""
     clean = F.coalesce(F.nullif(F.btrim(X.text_of(F.col(name)), F.lit("/\\")), F.lit("")), F.lit("document"))
     pattern = "(?s)^(.*?[^/])((?:-\\d+)*)(\\.[^./]+)?$"
-    rooted = files.withColumns({"_name": clean, "_root": F.concat(F.regexp_extract(clean, pattern, 1), F.lit("\n"), F.regexp_extract(clean, pattern, 3))})
+    head, ends, suffix = (F.regexp_extract("_name", pattern, k) for k in (1, 2, 3))
+    rooted = files.withColumn("_name", clean).withColumn("_root", F.concat(head, F.lit("\n"), suffix))
     keys = [*by, "_root"]
-    # what repeats, from counts by name, not from the files themselves
-    twice = rooted.groupBy(*keys, "_name").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.max("_n").alias("_most")).filter("_most > 1")
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
-    walked, others = (rooted.alias("r").join(twice.alias("t"), same, how).select("r.*") for how in ("left_semi", "left_anti"))
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        group = group.sort_values(on)
-        out = []
-        for x in group["_name"]:
-            out.append(_next_free(used, x))
-            used.add(out[-1])
-        return group.assign(unique_name=out).drop(columns=["_name", "_root"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", unique_name string"
-    return walked.groupBy(*keys).applyInPandas(walk, schema).unionByName(others.withColumn("unique_name", F.col("_name")).drop("_name", "_root"))
+    counts = rooted.groupBy(*keys, "_name").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.max("_n").alias("_most"), F.count(F.lit(1)).alias("_names"))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+    told = rooted.alias("r").join(counts.alias("c"), same).select("r.*", "_most", "_names")
+    kept = told.filter("_most = 1").withColumn("unique_name", F.col("_name"))
+    alike = numbered(told.filter("_most > 1 and _names = 1"), keys, [on], "_n")
+    many = F.raise_error(F.concat(F.lit(f"more than {NAMES} files of the name "), F.col("_name"))).cast("string")
+    alike = alike.withColumn("unique_name", F.when(F.col("_n") == 1, F.col("_name")).when(F.col("_n") > NAMES, many).otherwise(F.concat(head, ends, F.lit("-"), F.col("_n").cast("string"), suffix)))
+    row = F.struct(F.struct(*files.columns).alias("row"), F.col("_name").alias("name"))
+    order = lambda a, b: F.when(a["row"][on] < b["row"][on], -1).when(a["row"][on] > b["row"][on], 1).otherwise(0)
+    groups = told.filter("_most > 1 and _names > 1").groupBy(*keys).agg(F.array_sort(F.collect_list(row), order).alias("_g"))
+    walked = groups.select(F.inline(F.arrays_zip(F.col("_g").alias("f"), _walked(F.transform("_g", lambda x: x["name"])).alias("unique_name")))).select("f.row.*", "unique_name")
+    columns = [*files.columns, "unique_name"]
+    return walked.unionByName(kept.select(columns)).unionByName(alike.select(columns))

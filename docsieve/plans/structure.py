@@ -180,9 +180,9 @@ def op_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 COMMANDS_SQL = """k AS (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k FROM events),
     c0 AS (SELECT event_id AS seq, k, user_id, CASE event_type WHEN 'signup' THEN 'create' WHEN 'click' THEN 'edit' WHEN 'view' THEN CASE WHEN k % 2 = 0 THEN 'enable' ELSE 'disable' END
         WHEN 'error' THEN CASE k % 3 WHEN 0 THEN 'delete' WHEN 1 THEN 'reset' ELSE 'rename' END ELSE 'reorder' END AS action FROM k),
-    c1 AS (SELECT seq, action, CASE WHEN action = 'reorder' THEN NULL WHEN k % 4 = 0 AND action <> 'create' THEN 'n' || CAST(k % 25 AS VARCHAR) ELSE 'c' || CAST((user_id + k) % 40 AS VARCHAR) END AS code,
+    c1 AS (SELECT seq, action, CASE WHEN action = 'reorder' THEN NULL WHEN k % 4 = 0 AND action <> 'create' THEN 'n' || CAST(k % 25 AS VARCHAR) ELSE 'c' || CAST((user_id * 7 + k) % 1500 AS VARCHAR) END AS code,
         CASE user_id % 3 WHEN 0 THEN 'document' WHEN 1 THEN 'image' ELSE 'document' END AS task_type, CASE WHEN k % 11 = 0 THEN '' ELSE 'name ' || CAST(seq AS VARCHAR) END AS name, 'd' || CAST(k AS VARCHAR) AS description,
-        'prompt ' || CAST(seq AS VARCHAR) AS prompt, k % 2 = 1 AS enabled, CASE WHEN action <> 'reorder' THEN NULL WHEN k % 7 = 0 THEN [] ELSE ['c' || CAST(k % 40 AS VARCHAR), 'n' || CAST(k % 25 AS VARCHAR), 'c' || CAST(user_id % 40 AS VARCHAR)] END AS codes FROM c0),
+        'prompt ' || CAST(seq AS VARCHAR) AS prompt, k % 2 = 1 AS enabled, CASE WHEN action <> 'reorder' THEN NULL WHEN k % 7 = 0 THEN [] ELSE ['c' || CAST(k * 13 % 1500 AS VARCHAR), 'n' || CAST(k % 25 AS VARCHAR), 'c' || CAST(user_id * 7 % 1500 AS VARCHAR)] END AS codes FROM c0),
     b AS (SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS code, CASE n_regionkey % 2 WHEN 0 THEN 'document' ELSE 'image' END AS task_type, n_name AS name, 'built in' AS description, 'default ' || n_name AS prompt, n_regionkey <> 2 AS enabled, n_nationkey * 10 AS sort_order FROM nation),
     c2 AS (SELECT c1.*, b.code IS NOT NULL AS builtin, c1.action IN ('create', 'edit', 'enable', 'disable', 'reset', 'delete') AND NOT (c1.action IN ('create', 'edit') AND c1.name = '') AND NOT (c1.action = 'create' AND b.code IS NOT NULL)
         AND NOT (c1.action = 'delete' AND b.code IS NOT NULL) AND NOT (c1.action = 'reset' AND b.code IS NULL) AS fine FROM c1 LEFT JOIN b USING (code))"""
@@ -238,8 +238,8 @@ def _registry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), action.alias("action"), k.alias("k"), user)
     text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     k = F.col("k")
-    code = F.when(F.col("action") == "reorder", None).when((k % 4 == 0) & (F.col("action") != "create"), text("n", k % 25)).otherwise(text("c", (user + k) % 40))
-    codes = F.when(F.col("action") == "reorder", F.when(k % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(text("c", k % 40), text("n", k % 25), text("c", user % 40))))
+    code = F.when(F.col("action") == "reorder", None).when((k % 4 == 0) & (F.col("action") != "create"), text("n", k % 25)).otherwise(text("c", (user * 7 + k) % 1500))
+    codes = F.when(F.col("action") == "reorder", F.when(k % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(text("c", k * 13 % 1500), text("n", k % 25), text("c", user * 7 % 1500))))
     commands = e.select(
         "seq", "action", code.alias("code"), F.when(user % 3 == 0, "document").when(user % 3 == 1, "image").otherwise("other").alias("task_type"), F.when(k % 11 == 0, " ").otherwise(text("name ", F.col("seq"))).alias("name"),
         text("d", k).alias("description"), text("prompt ", F.col("seq")).alias("prompt"), (k % 2 == 1).alias("enabled"), codes.alias("codes"),
