@@ -221,7 +221,7 @@ def unique_names(files: DataFrame, by: Sequence[str], on: str, name: str) -> Dat
     kept = told.filter("_most = 1").withColumn("unique_name", F.col("_name"))
     alike = numbered(told.filter("_most > 1 and _names = 1"), keys, [on], "_n")
     many = F.raise_error(F.concat(F.lit(f"more than {NAMES} files of the name "), F.col("_name"))).cast("string")
-    alike = alike.withColumn("unique_name", F.when(F.col("_n") == 1, F.col("_name")).when(F.col("_n") > NAMES, many).otherwise(F.concat(head, ends, F.lit("-"), F.col("_n").cast("string"), suffix)))
+    alike = alike.filter(F.when(F.col("_n") > NAMES, many).otherwise("") == "").withColumn("unique_name", F.when(F.col("_n") == 1, F.col("_name")).otherwise(F.concat(head, ends, F.lit("-"), F.col("_n").cast("string"), suffix)))
     row = F.struct(F.struct(*files.columns).alias("row"), F.col("_name").alias("name"))
     order = lambda a, b: F.when(a["row"][on] < b["row"][on], -1).when(a["row"][on] > b["row"][on], 1).otherwise(0)
     groups = told.filter("_most > 1 and _names > 1").groupBy(*keys).agg(F.array_sort(F.collect_list(row), order).alias("_g"))

@@ -182,16 +182,47 @@ def limit_note(deduplicated: DataFrame, limit: int = V.ISSUE_LIMIT, by: tuple[st
 def suppress(items: DataFrame, rules: DataFrame) -> DataFrame:
     """``items`` with the best enabled rule of their task type and check, if it is similar enough (ties: smaller id).
 
-    Items and rules meet by equality on (task_type, code); a hot pair is split by adaptive execution."""
+    Items and rules meet by equality on (task_type, code); a hot pair is split by adaptive execution. Rules are a list kept by
+    people, so what meets grows with the distinct texts; pairs that cannot be similar enough go before a score is computed."""
     active = rules.filter("enabled").select("task_type", F.col("check_code").alias("code"), F.col("id").alias("rule_id"), F.col("description").alias("rule_description"))
     said = X.collapse(F.coalesce(F.nullif(F.col("description"), F.lit("")), F.col("text")))
     texts = items.select("task_type", "code", said.alias("_said")).distinct()
-    scored = texts.join(active, ["task_type", "code"]).withColumn("score", S.similarity(F.col("_said"), F.col("rule_description")))
+    near_enough = texts.join(active, ["task_type", "code"]).filter(S.similarity_bound(F.col("_said"), F.col("rule_description")) >= S.THRESHOLD)
+    scored = near_enough.withColumn("score", S.similarity(F.col("_said"), F.col("rule_description")))
     best = scored.groupBy("task_type", "code", "_said").agg(F.max_by(F.struct("rule_id", "score"), F.struct(F.col("score"), -F.col("rule_id"))).alias("hit"))
     near = best.filter(F.col("hit.score") >= S.THRESHOLD).select("task_type", "code", "_said", F.col("hit.rule_id").alias("rule_id"), F.col("hit.score").alias("similarity"))
     return items.withColumn("_said", said).join(near, ["task_type", "code", "_said"], "left").drop("_said")
 
 
+def record_hits(rules: DataFrame, recorded: DataFrame, suppressed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rules, recorded hits) after a report: each (rule, task, check, item) is recorded once, however often the report is
+    made, and a rule's ``hit_count`` grows by what was new. ``suppressed`` are items with a rule_id, ``recorded`` has rule_id,
+    task_id, code, item_id; repeated rows of either are one."""
+    key = ["rule_id", "task_id", "code", "item_id"]
+    found = suppressed.filter("rule_id is not null").select("rule_id", "task_id", "code", F.col("id").alias("item_id")).distinct()
+    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in key]
+    new = found.alias("n").join(recorded.select(*key).distinct().alias("o"), same, "left_anti")
+    more = new.groupBy(F.col("rule_id").alias("id")).agg(F.count(F.lit(1)).alias("_new"))
+    counted = rules.join(more, "id", "left").withColumn("hit_count", F.coalesce("hit_count", F.lit(0)) + F.coalesce("_new", F.lit(0))).drop("_new")
+    return counted.select(rules.columns), recorded.select(*key).distinct().unionByName(new)
+
+
+def rule_list(rules: DataFrame, checks: DataFrame) -> DataFrame:
+    """The rules with the names of their checks (a rule whose check is gone stays, without one): those to decide on first,
+    then the newest."""
+    named = checks.groupBy(F.col("code").alias("check_code")).agg(F.min("name").alias("check_name"))
+    return rules.join(named, "check_code", "left").orderBy(F.asc("enabled"), F.desc("updated_at"), F.desc("id"))
+
+
+def changed_rules(rules: DataFrame, changes: DataFrame) -> DataFrame:
+    """(seq, id, action) onto rules: of the changes of a rule the last counts: enable, disable (both set ``updated_at`` to
+    its ``at``) or delete. Others change nothing."""
+    last = changes.filter(F.col("action").isin("enable", "disable", "delete")).groupBy("id").agg(F.max_by(F.struct("action", "at"), "seq").alias("_last"), F.bool_or(F.col("action") == "delete").alias("_gone"))
+    out = rules.join(last, "id", "left").filter(~F.coalesce("_gone", F.lit(False)))
+    changed = F.col("_last").isNotNull()
+    return out.withColumns({"enabled": F.when(changed, F.col("_last.action") == "enable").otherwise(F.col("enabled")), "updated_at": F.when(changed, F.col("_last.at")).otherwise(F.col("updated_at"))}).select(rules.columns)
+
+
 def overlay_reviews(items: DataFrame, reviews: DataFrame) -> DataFrame:
     """Saved type and acceptance by (task, code, item id); a re-typed item keeps its rank."""
     saved = reviews.select("task_id", "code", F.col("item_id").alias("id"), "item_type", "acceptance", "rejection_reason")
@@ -207,9 +238,15 @@ def latest_reviews(events: DataFrame) -> DataFrame:
     return events.filter(valid).withColumn("_n", F.row_number().over(last)).filter("_n = 1 and acceptance <> 'pending'").drop("_n")
 
 
-def counts(items: DataFrame, by: tuple[str, ...] = ("task_id", "code")) -> DataFrame:
-    """Items by type and acceptance. Rates come from sums, never from other rates."""
+def counts(items: DataFrame, by: tuple[str, ...] = ("task_id", "code"), suppressed: DataFrame | None = None) -> DataFrame:
+    """Items by type and acceptance, and with ``suppressed`` (the items that rules took out) how many of those there are, also
+    where nothing else is left. Rates come from sums, never from other rates."""
     issue = F.col("type") == "issue"
+    if suppressed is not None:
+        shown = counts(items, by)
+        gone = suppressed.groupBy(*by).agg(F.count(F.lit(1)).alias("suppressed"))
+        both = shown.join(gone, list(by), "full")
+        return both.select(*by, *[F.coalesce(c, F.lit(0)).alias(c) for c in [*shown.columns[len(by) :], "suppressed"]])
     return items.groupBy(*by).agg(
         *[F.count_if(F.col("type") == t).alias(t) for t in TYPES],
         F.count_if(issue & (F.col("acceptance") == "accepted")).alias("accepted_issue"),

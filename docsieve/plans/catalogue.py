@@ -142,11 +142,12 @@ def op_similarity_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(X.dice(F.col("ga"), F.col("gb")), 9).alias("dice"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {twins.similarity_of("SELECT x.item_id AS a, y.item_id AS b, x.text AS ta, y.text AS tb FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id + 1")}
+    SELECT a, b, round(CAST(similarity AS DOUBLE), 9) AS similarity FROM scored""")
 def op_similarity_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "benchmark")
     a, b = t.select(F.col("item_id").alias("a"), F.col("text").alias("ta")), t.select(F.col("item_id").alias("b"), F.col("text").alias("tb"))
-    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", similarity.similarity(F.col("ta"), F.col("tb")).alias("similarity"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(similarity.similarity(F.col("ta"), F.col("tb")), 9).alias("similarity"))
 
 
 # ---------------------------------------------------------------- overview and lists
@@ -285,7 +286,9 @@ def op_review_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.groupBy("task_id", "code").agg(F.count_if(F.col("type") == "issue").alias("issues"), F.count_if(F.col("acceptance") == "accepted").alias("accepted"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {twins.similarity_of("SELECT x.item_id AS a, y.item_id AS b, regexp_replace(x.text, '\\s+', ' ', 'g') AS ta, y.text AS tb FROM benchmark x JOIN benchmark y ON y.item_id % 7 = 0 AND y.item_id % 2 = x.item_id % 2")},
+    best AS (SELECT a, b, similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS n FROM scored WHERE similarity >= 0.56) WHERE n = 1)
+    SELECT item_id, b AS rule_id, round(CAST(similarity AS DOUBLE), 9) AS similarity FROM benchmark LEFT JOIN best ON a = item_id""")
 def op_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read(spark, sf_dir, "benchmark")
     rules = b.filter("item_id % 7 = 0").select(F.col("item_id").alias("id"), F.lit("document").alias("task_type"), F.concat(F.lit("c"), (F.col("item_id") % 2).cast("string")).alias("check_code"), F.col("text").alias("description"), F.lit(True).alias("enabled"))

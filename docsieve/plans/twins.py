@@ -126,3 +126,27 @@ REPEAT_TAIL = """WITH d AS (SELECT doc_id, text, length(text) AS n FROM document
     w AS (SELECT doc_id, n, size, substr(text, n - 3 * size + 1, size) AS a, substr(text, n - 2 * size + 1, size) AS b, substr(text, n - size + 1, size) AS c FROM d, (VALUES (16), (32), (64), (128), (256)) v(size) WHERE n >= 3 * size),
     s AS (SELECT doc_id, len(list_filter(range(1, size + 1), lambda i: a[i] = b[i])) / size >= 0.9 AND len(list_filter(range(1, size + 1), lambda i: a[i] = c[i])) / size >= 0.9 AS alike FROM w)
     SELECT doc_id, coalesce(bool_or(alike), false) AS repeats FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id"""
+
+
+def similarity_of(pairs: str) -> str:
+    """CTEs from pairs (a, b, ta, tb: plain texts) to ``scored`` (a, b, similarity). Blocks come from a recursion over parts
+    of a pair: equal characters on one diagonal without a gap are a run; the longest run of characters that are not too
+    common, with what lies next to it on its diagonal, parts the rest in two."""
+    plain = "regexp_replace(lower({}), '[^a-z0-9äöüßéèêçñóíáúàâîôûëïÿœæ]+', '', 'g')"
+    return f"""texts AS (SELECT a, b, {plain.format("ta")} AS x, {plain.format("tb")} AS y FROM ({pairs})),
+    xs AS (SELECT a, b, unnest(range(length(x))) AS i, unnest(string_split(x, '')) AS c FROM texts WHERE x <> ''), ys AS (SELECT a, b, length(y) AS n, unnest(range(length(y))) AS j, unnest(string_split(y, '')) AS c FROM texts WHERE y <> ''),
+    rare AS (SELECT *, n < 200 OR count(*) OVER (PARTITION BY a, b, c) <= n // 100 + 1 AS rare FROM ys),
+    alike AS (SELECT a, b, i, j, rare FROM xs JOIN rare USING (a, b, c)),
+    parts AS (SELECT a, b, CAST(0 AS BIGINT) AS i0, length(x) AS i1, CAST(0 AS BIGINT) AS j0, length(y) AS j1, CAST(0 AS BIGINT) AS size FROM texts
+        UNION ALL SELECT a, b, CASE side WHEN 0 THEN i0 ELSE best.s + best.n END, CASE side WHEN 0 THEN best.s ELSE i1 END, CASE side WHEN 0 THEN j0 ELSE best.s - best.d + best.n END, CASE side WHEN 0 THEN best.s - best.d ELSE j1 END, CASE side WHEN 0 THEN best.n ELSE 0 END
+        FROM (SELECT a, b, i0, i1, j0, j1, arg_min(struct_pack(s := s, n := n, d := i - j), CASE WHEN rare THEN struct_pack(n := -m, i := r, j := r - i + j) ELSE struct_pack(n := CAST(0 AS BIGINT), i := i, j := j) END) FILTER (rare OR (i = i0 AND j = j0)) AS best
+            FROM (SELECT *, min(i) OVER run AS s, count(*) OVER run AS n, min(i) OVER rare_run AS r, count(*) OVER rare_run AS m
+                FROM (SELECT p.*, e.i, e.j, e.rare, e.i - row_number() OVER (PARTITION BY p.a, p.b, p.i0, p.j0, p.i1, p.j1, e.i - e.j ORDER BY e.i) AS g, e.i - row_number() OVER (PARTITION BY p.a, p.b, p.i0, p.j0, p.i1, p.j1, e.i - e.j, e.rare ORDER BY e.i) AS h
+                    FROM parts p JOIN alike e ON e.a = p.a AND e.b = p.b AND e.i >= p.i0 AND e.i < p.i1 AND e.j >= p.j0 AND e.j < p.j1)
+                WINDOW run AS (PARTITION BY a, b, i0, j0, i1, j1, i - j, g), rare_run AS (PARTITION BY a, b, i0, j0, i1, j1, i - j, rare, h))
+            GROUP BY a, b, i0, i1, j0, j1), (VALUES (0), (1)) sides(side) WHERE best IS NOT NULL),
+    matched AS (SELECT a, b, sum(size) AS size FROM parts GROUP BY a, b),
+    shares AS (SELECT *, list_distinct(string_split(x, '')) AS xc, list_distinct(string_split(y, '')) AS yc, list_distinct(list_transform(range(1, greatest(length(x), 2)), lambda i: substr(x, CAST(i AS BIGINT), 2))) AS xg,
+        list_distinct(list_transform(range(1, greatest(length(y), 2)), lambda i: substr(y, CAST(i AS BIGINT), 2))) AS yg FROM texts),
+    scored AS (SELECT a, b, CASE WHEN x = '' OR y = '' THEN 0.0 WHEN x = y THEN 1.0 WHEN least(length(x), length(y)) >= 6 AND (contains(x, y) OR contains(y, x)) THEN 0.95 WHEN least(length(x), length(y)) < 4 THEN 0.0
+        ELSE greatest(2.0 * size / (length(x) + length(y)), 0.9 * (2.0 * len(list_intersect(xc, yc)) / (len(xc) + len(yc))), 2.0 * len(list_intersect(xg, yg)) / (len(xg) + len(yg))) END AS similarity FROM shares JOIN matched USING (a, b))"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from docsieve.plans import catalogue, reports, structure  # noqa: F401
+from docsieve.plans import catalogue, reports, structure, upkeep  # noqa: F401
 from tests.compare import oracle_rows, spark_rows
 
 
