@@ -126,3 +126,66 @@ def test_held_out_pages(spark):
             right += html_blocks.main_text(form) == expected
             total += 1
     assert total and right >= 0.95 * total
+
+
+LONG = "On the second day the wind turned, and those who had waited were glad of it, though none of them said so aloud at the quay."
+
+
+@pytest.mark.parametrize(
+    "begin",
+    [
+        "<div>", "<div class='entry-content social-share-below'>", "<div class='post-body widget-area-left'>", "<form id='aspnetForm'><div>", "<form id='aspnetForm'><article>", "<div class='legal'>", "<section class='banner-story'>",
+        "<div id='related-content-main'>", "<table><tr><td>", "<div class='notice'>",
+    ],
+)
+@pytest.mark.parametrize("tag", ["p", "div"])
+def test_articles_in_any_frame_stay(begin, tag):
+    nav, foot = "<nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav>", "<footer>&copy; 2024 <a href=3>Us</a></footer>"
+    page = f"{nav}{begin}<{tag}>{BODY}</{tag}><{tag}>{LONG}</{tag}>"
+    assert html_blocks.main_text(f"{page}{foot}") == f"{BODY} {LONG}"
+
+
+def test_text_without_any_tag_of_prose():
+    assert html_blocks.main_text(f"<div>{BODY}<br>{LONG}</div>") == f"{BODY} {LONG}"
+    assert html_blocks.main_text(f"<nav><a href=1>One</a> <a href=2>Two</a></nav><div>{BODY}</div><div>{LONG}</div><div>{BODY}</div>") == f"{BODY} {LONG} {BODY}"
+
+
+@pytest.mark.parametrize(
+    "after",
+    [
+        f"<div class='user-feedback'><p>{LONG}</p><p>{BODY}</p></div>",
+        "<div class='right-col'><h3><a href=1>Read this story too</a></h3><p>A short teaser of another story from here.</p><h3><a href=2>And this one</a></h3><p>Another teaser, as short as the first one.</p></div>",
+        f"<section class='comment-list'><p>{LONG}</p><p>Yes!</p></section>",
+    ],
+)
+def test_comments_and_teasers_go(after):
+    assert html_blocks.main_text(f"<article><p>{BODY}</p><p>{LONG}</p></article>{after}") == f"{BODY} {LONG}"
+
+
+def test_the_tree_asks_for_words_and_neighbours():
+    asked = set()
+
+    def walk(tree):
+        if tree.feature is not None:
+            asked.add(html_blocks.NAMES_OF_FEATURES[tree.feature])
+            walk(tree.low)
+            walk(tree.high)
+
+    walk(html_blocks.trained_tree())
+    assert {"words", "links", "words after"} <= asked and asked & {"words before", "links before"}
+
+
+def test_a_second_draw_of_the_table():
+    t = html_blocks.labelled(seed=99)
+    kept = html_blocks.trained_tree().predict(t[:, :-1])
+    assert (kept == t[:, -1]).mean() > 0.99 and kept[t[:, -1] == 1].mean() > 0.99
+
+
+def test_whole_query_against_the_articles(spark, sf_dir):
+    """Every given page, not a sample: the text is that of all blocks in its article, in order."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    html = {r["page_id"]: r["html"] or "" for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in queries.op6_html_extraction(spark, sf_dir).collect()}
+    for k, page in html.items():
+        inner = page[page.index("<article>") + 9 : page.index("</article>")]
+        assert got[k] == " ".join(b[0] for b in html_blocks.blocks(inner))
