@@ -83,10 +83,11 @@ def op_heading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each document beside those of the next one."""
     docs = read(spark, sf_dir, "documents")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    # a line goes by its digest of 16 bytes, and a document is told to have a neighbour before its lines are unfolded
+    texts = docs.select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.unhex(F.md5(x))).alias("lines"))
     ids = docs.select("doc_id").distinct()
-    a = lines.join(ids.select((F.col("doc_id") - 1).alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("pair"), "line", "at")
-    b = lines.join(ids.select((F.col("doc_id") + 1).alias("doc_id")), "doc_id", "left_semi").select((F.col("doc_id") - 1).alias("pair"), "line", "at")
+    a = texts.join(ids.select((F.col("doc_id") - 1).alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("pair"), F.posexplode("lines").alias("at", "line"))
+    b = texts.join(ids.select((F.col("doc_id") + 1).alias("doc_id")), "doc_id", "left_semi").select((F.col("doc_id") - 1).alias("pair"), F.posexplode("lines").alias("at", "line"))
     side = OR.aligned(a, b, ["pair"], "line", "at", width=50)
     both = F.col("at_a").isNotNull() & F.col("at_b").isNotNull()
     return side.groupBy("pair").agg(F.count_if(both).alias("both_have"), F.count_if(F.col("at_b").isNull()).alias("only_a"), F.count_if(F.col("at_a").isNull()).alias("only_b"), F.sum(F.when(both, F.abs(F.col("at_a") - F.col("at_b"))).otherwise(0)).cast("long").alias("moved"))
