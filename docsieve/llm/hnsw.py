@@ -8,8 +8,8 @@
 * The stated queries are put into blocks of ``BLOCK`` rows; every pair of a shard and a block is searched, and the best
   k over all shards remain. Distances are computed again in double precision on the original numbers.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite numbers take no part; so do vectors of
-another length than most (of equally frequent lengths the shorter counts); rows with a null id take no part; rows that
+Defined results: vectors that are null, empty, zero or hold null or non-finite numbers take no part; vectors of
+different lengths are not compared, each length is searched among its own; rows with a null id take no part; rows that
 repeat an id count as one candidate at the smallest distance, and the smallest of their vectors asks; ties go to the smaller id; an empty table gives none.
 """
 
@@ -214,13 +214,16 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEAR
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, its k nearest other rows."""
+    """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, its k nearest other rows of its length.
+    Each length of vector has an index of its own (one pass of jobs for each; tables have one length as a rule)."""
     whole = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
-    usual = whole.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = whole.filter(F.size("v") == F.lit(usual["n"] if usual else 0))
-    queries = rows.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("v").alias("q")).groupBy("query_id").agg(F.min("q").alias("q"))
-    with scratch(vectors.sparkSession):
-        found = search_index(build_index(rows, k + 1, shard_rows), queries, k, ef)
+    found = None
+    for n in [r["n"] for r in whole.select(F.size("v").alias("n")).distinct().orderBy("n").collect()] or [0]:
+        rows = whole.filter(F.size("v") == n)  # vectors of one length are near each other or not, those of two are not comparable
+        queries = rows.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("v").alias("q")).groupBy("query_id").agg(F.min("q").alias("q"))
+        with scratch(vectors.sparkSession):
+            part = search_index(build_index(rows, k + 1, shard_rows), queries, k, ef)
+        found = part if found is None else found.unionByName(part)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -60,3 +60,15 @@ def test_shards_and_edges(spark):
     assert hnsw.nearest(df.limit(0)).count() == 0
     few = by_query(hnsw.nearest(df.filter("vec_id < 4"), every=2))
     assert {i: len(n) for i, n in few.items()} == {0: 3, 2: 3}
+
+
+def test_each_length_is_searched_on_its_own(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8 if i % 3 else 5).tolist()) for i in range(300)]
+    found = by_query(hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20))
+    for size in (8, 5):
+        own = [r for r in rows if len(r[1]) == size]
+        truth = brute_force(own, 20)
+        part = {i: found[i] for i in truth}
+        assert truth and recall(part, truth) >= 0.95
+    assert set(found) == {i for i, _ in rows if i % 20 == 0}
