@@ -111,6 +111,19 @@ def _patterns(rules: Iterable[CommonRule]) -> list[tuple]:
     return out
 
 
+def rule_scopes(docs: DataFrame, rules: Iterable[CommonRule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: its language, how many rules apply to it and how many are skipped because of their language scope."""
+    per: dict[str, int] = {}
+    for r in rules:
+        per[r.scope] = per.get(r.scope, 0) + 1
+    language = X.estimate_language(X.text_of(F.col(text_col)))
+    out = docs.select(F.col(id_col).alias("doc_id"), language.alias("language"))
+    own = F.lit(0)
+    for scope, n in per.items():
+        own = own + F.when(F.lit(scope == "all") | (F.col("language") == scope), n).otherwise(0)
+    return out.withColumns({"applied": own.cast("long"), "skipped": (F.lit(sum(per.values())) - own).cast("long")})
+
+
 def term_candidates(docs: DataFrame, rules: Iterable[CommonRule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All token-bounded hits: doc_id, rule, standard, kind, start (0-based), stop, observed. Rules with a language scope
     apply to documents of that language only."""

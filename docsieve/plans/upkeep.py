@@ -9,7 +9,9 @@ from docsieve.functions import values as V
 from docsieve.functions.markup import html_text
 from docsieve.operators import operations as O
 from docsieve.operators import report as R
+from docsieve.operators import terms as T
 from docsieve.operators import upkeep as U
+from docsieve.plans import twins
 from docsieve.plans.catalogue import ITEMS_SQL, TASKS_SQL, query
 from docsieve.sources.tables import items, read, tasks
 
@@ -23,6 +25,24 @@ def op_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("text"))
 
 
+SCOPED = [T.CommonRule("einen", ("eine", "der"), "latin"), T.CommonRule("Was", ("that",)), T.CommonRule("THE", (), "zh"), T.CommonRule("Con", ("con",), "zh"), T.CommonRule("Les", ("les",), "latin")]
+
+
+@query(f"WITH {twins.LANGUAGES} SELECT doc_id, language, CAST(1 + CASE language WHEN 'latin' THEN 2 WHEN 'zh' THEN 2 ELSE 0 END AS BIGINT) AS applied, CAST(4 - CASE language WHEN 'latin' THEN 2 WHEN 'zh' THEN 2 ELSE 0 END AS BIGINT) AS skipped FROM languages")
+def op_rule_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rules of several language scopes apply to each document, and how many are skipped."""
+    return T.rule_scopes(read(spark, sf_dir, "documents"), SCOPED)
+
+
+@query(f"""WITH {twins.LANGUAGES}, r(term, standard, scope) AS (VALUES ('eine', 'einen', 'latin'), ('der', 'einen', 'latin'), ('that', 'Was', 'all'), ('con', 'Con', 'zh'), ('les', 'Les', 'latin')),
+    d AS (SELECT doc_id, documents.text, language FROM documents JOIN languages USING (doc_id)) SELECT doc_id, standard, term AS observed, CAST(len(regexp_extract_all(text, '\\b' || term || '\\b')) AS BIGINT) AS hits
+    FROM d, r WHERE (scope = 'all' OR scope = language) AND regexp_matches(text, '\\b' || term || '\\b')""")
+def op_scoped_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discouraged terms of rules that apply to a document's language."""
+    found = T.term_candidates(read(spark, sf_dir, "documents"), SCOPED).filter("kind = 'discouraged'")
+    return found.groupBy("doc_id", "standard", "observed").agg(F.count(F.lit(1)).alias("hits"))
+
+
 # ---------------------------------------------------------------- migrations
 
 

@@ -14,6 +14,7 @@ from docsieve.functions import text as X
 from docsieve.functions.markup import html_lines
 from docsieve.operators import report as R
 from docsieve.operators import rule_tables as RT
+from docsieve.operators import terms as T
 from docsieve.operators import upkeep as U
 
 
@@ -202,3 +203,10 @@ def test_better_of_two_page_texts(spark):
     cases = [("", good, good), (good, " ", good), (good, bad, good), (bad, good, good), (good + " zeta eta theta iota kappa lambda", good, good + " zeta eta theta iota kappa lambda"), (good, good, good), (None, None, "")]
     df = spark.createDataFrame([(a, b) for a, b, _ in cases], "a string, b string")
     assert [r[0] for r in df.select(sampling.better_page_text(F.col("a"), F.col("b"))).collect()] == [c for *_, c in cases]
+
+
+def test_rules_skipped_by_language(spark):
+    rules = [T.CommonRule("A"), T.CommonRule("B", (), "zh"), T.CommonRule("C", (), "zh"), T.CommonRule("D", (), "other")]
+    df = spark.createDataFrame([(1, "请打开应用程序并登录账户后查看设备状态和报警信息"), (2, "This is a longer English sentence about a device, for a test."), (3, None)], "doc_id long, text string")
+    assert rows(T.rule_scopes(df, rules)) == [(1, "zh", 3, 1), (2, "latin", 1, 3), (3, "unknown", 1, 3)]
+    assert rows(T.rule_scopes(df, []).select("applied", "skipped")) == [(0, 0)] * 3
