@@ -97,19 +97,6 @@ def excerpt(text: Column, position: Column, length: Column, context: int = CONTE
     return F.concat(F.when(start > 0, "...").otherwise(""), collapse(text.substr(start + 1, end - start)), F.when(end < F.length(text), "...").otherwise(""))
 
 
-def shorten(line: Column, term: Column, limit: int = LINE_LIMIT) -> Column:
-    """At most ``limit`` characters around the term; without the term the first ones."""
-    line = F.trim(line)
-    found = F.instr(line, term) - 1 if not isinstance(term, str) else F.instr(line, F.lit(term)) - 1
-    begin = F.greatest(F.lit(0), found - limit // 2)
-    end = F.least(F.length(line), begin + limit)
-    start = F.greatest(F.lit(0), end - limit)
-    around = F.concat(F.when(start > 0, "...").otherwise(""), F.trim(line.substr(start + 1, end - start)), F.when(end < F.length(line), "...").otherwise(""))
-    return F.when(F.length(line) <= limit, line).when(found < 0, F.concat(F.rtrim(line.substr(1, limit - 3)), F.lit("..."))).otherwise(around)
-
-
-def has_case(term: Column) -> Column:
-    return F.lower(term) != F.upper(term)
 
 
 def quoted(term: Column) -> Column:
@@ -117,13 +104,6 @@ def quoted(term: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
-def bounded(term: Column, ignore_case: Column | bool = False) -> Column:
-    """A pattern for the term as a token: no ASCII word character next to a side that is one itself."""
-    flag = F.lit(ignore_case) if isinstance(ignore_case, bool) else ignore_case
-    left = F.when(term.rlike("^[A-Za-z0-9_]"), "(?<![A-Za-z0-9_])").otherwise("")
-    right = F.when(term.rlike("[A-Za-z0-9_]$"), "(?![A-Za-z0-9_])").otherwise("")
-    return F.concat(F.when(flag, "(?iu)").otherwise(""), left, quoted(term), right)
-
 
 def literal_hits(text: Column, term: Column) -> Column:
     """Non-overlapping, case-sensitive occurrences."""
@@ -136,12 +116,6 @@ def line_number(text: Column, position: Column) -> Column:
     return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("long")
 
 
-def line_text(text: Column, position: Column) -> Column:
-    """The line around a 0-based position, white space collapsed."""
-    before = F.substring_index(text.substr(F.lit(1), position), "\n", -1)
-    after = F.substring_index(text.substr(position + 1, F.length(text)), "\n", 1)
-    return collapse(F.concat(before, after))
-
 
 def lines(text: Column) -> Column:
     """Lines at any Unicode line end, without an empty last one."""
