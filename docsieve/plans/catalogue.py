@@ -262,9 +262,13 @@ def op_item_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("task_id", "code", "idx", V.item_id(F.col("code"), F.col("idx"), F.col("description")).alias("id"))
 
 
-@query("""SELECT doc_id, sha256('{"check_code":"' || source || '","description":"' || regexp_replace(lang, '[^a-z]', '', 'g') || '","task_type":"document"}') AS fingerprint FROM documents""")
+@query("""SELECT doc_id, sha256('{"check_code":"术语 ' || source || '","description":"' || CASE coalesce(lang, '') WHEN 'de' THEN 'Größe „' WHEN 'fr' THEN 'été / «' WHEN 'es' THEN 'año 𝔘' ELSE '描述' END || '","task_type":"Döküman"}') AS fingerprint FROM documents""")
 def op_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", V.rule_fingerprint(F.lit("document"), F.col("source"), F.col("lang")).alias("fingerprint"))
+    """Keys in order, and text beyond ASCII as it is: two, three and four bytes of UTF-8."""
+    lang = F.coalesce("lang", F.lit(""))
+    said = F.when(lang == "de", "Größe „").when(lang == "fr", "été / «").when(lang == "es", "año 𝔘").otherwise("描述")
+    d = read(spark, sf_dir, "documents").withColumn("said", said)
+    return d.select("doc_id", V.rule_fingerprint(F.lit("Döküman"), F.concat(F.lit("术语 "), "source"), F.col("said")).alias("fingerprint"))
 
 
 @query(f"""WITH {ITEMS_SQL}, ev AS (SELECT task_id, code, idx, CASE WHEN idx % 3 = 0 THEN 'non_issue' END AS item_type, CASE idx % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' WHEN 2 THEN 'pending' ELSE 'accepted' END AS acc FROM items WHERE idx % 2 = 0 OR idx % 4 = 3)

@@ -165,12 +165,12 @@ def op_clean_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.clean_expired(t, t.filter("status = 'completed' and task_id % 2 = 0"), F.lit("now")).select("task_id", "document_text", "cleaned_at")
 
 
-@query("SELECT o_orderkey AS task_id, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') + 1 AS INTEGER) AS days, CAST(o_orderdate AS DATE) - 29 = CAST(o_orderdate AS DATE) - INTERVAL 29 DAY AS same, strftime(o_orderdate, '%Y%m%d%H%M%S') AS stamp, o_orderdate + INTERVAL 90 SECOND AS deadline FROM orders")
+@query("SELECT o_orderkey AS task_id, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') + 1 AS INTEGER) AS days, CAST(o_orderdate AS DATE) - 6 AS last_7, CAST(o_orderdate AS DATE) - 29 AS last_30, CAST(date_trunc('day', o_orderdate) + INTERVAL 1 DAY AS TIMESTAMP) AS until, strftime(o_orderdate, '%Y%m%d%H%M%S') AS stamp, o_orderdate + INTERVAL 90 SECOND AS deadline FROM orders")
 def op_day_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, day = read(spark, sf_dir, "orders"), F.to_date("o_orderdate")
     r = L.day_range(day, F.lit("1999-01-01").cast("date"))
     last = L.day_range(day, day)
-    return o.select(F.col("o_orderkey").alias("task_id"), r["days"].alias("days"), (last["last_30"] == F.date_sub(day, 29)).alias("same"), L.file_stamp(F.col("o_orderdate")).alias("stamp"), L.lease_deadline(F.col("o_orderdate")).alias("deadline"))
+    return o.select(F.col("o_orderkey").alias("task_id"), r["days"].alias("days"), last["last_7"].alias("last_7"), last["last_30"].alias("last_30"), last["to"].alias("until"), L.file_stamp(F.col("o_orderdate")).alias("stamp"), L.lease_deadline(F.col("o_orderdate")).alias("deadline"))
 
 
 @query(f"""WITH {TASKS_SQL} SELECT l_orderkey AS task_id, status, count(*) AS files, CAST(sum(l_partkey) AS BIGINT) AS bytes, status = 'completed' AS cleanable FROM lineitem JOIN tasks ON task_id = l_orderkey GROUP BY l_orderkey, status""")
@@ -192,7 +192,7 @@ def op_check_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'checkable' WHEN 1 THEN 'skipped: no type' ELSE 'skipped: video/mp4' END AS media, page_id % 5 = 0 AS safe, length(html) > 4000 AS too_long,
-    'file: ' || CAST(page_id AS VARCHAR) || '.html' || chr(10) || chr(10) || url AS said, to_base64(encode(url)) AS coded, true AS same FROM pages""")
+    'file: ' || CAST(page_id AS VARCHAR) || '.html' || chr(10) || chr(10) || url AS said, to_base64(encode(url)) AS coded, md5(url) AS decoded FROM pages""")
 def op_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, n = read(spark, sf_dir, "pages"), F.col("page_id")
     mime = F.when(n % 4 == 0, "image/png").when(n % 4 == 1, "").otherwise("video/mp4")
@@ -200,7 +200,7 @@ def op_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("../up\\"), n.cast("string"), F.lit(".html"))
     coded = F.base64(F.encode("url", "UTF-8"))
     coded = F.regexp_replace(coded, "\\r\\n", "")
-    return p.select("page_id", L.media_status(mime).alias("media"), L.safe_path(path).alias("safe"), L.too_long(F.col("html"), 4000).alias("too_long"), L.document_text(name, F.concat(F.lit("  "), F.col("url"), F.lit("\n"))).alias("said"), coded.alias("coded"), (F.decode(F.try_to_binary(coded, F.lit("base64")), "UTF-8") == F.col("url")).alias("same"))
+    return p.select("page_id", L.media_status(mime).alias("media"), L.safe_path(path).alias("safe"), L.too_long(F.col("html"), 4000).alias("too_long"), L.document_text(name, F.concat(F.lit("  "), F.col("url"), F.lit("\n"))).alias("said"), coded.alias("coded"), F.md5(F.try_to_binary(coded, F.lit("base64"))).alias("decoded"))
 
 
 @query("""WITH l AS (SELECT l_orderkey AS task_id, list(CAST(l_suppkey AS VARCHAR) ORDER BY l_linenumber, CAST(l_suppkey AS VARCHAR)) AS v FROM lineitem GROUP BY l_orderkey),
