@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from docsieve.llm.common import persist_table, scratch
 
-M, EF_BUILD, EF_SEARCH, SHARD_ROWS, BLOCK = 16, 64, 128, 8192, 512
+M, EF_BUILD, EF_SEARCH, SHARD_ROWS, BLOCK, TURN = 16, 64, 128, 8192, 512, 64
 
 
 class Graph:
@@ -172,12 +172,17 @@ def build_index(vectors: DataFrame, copies: int, shard_rows: int = SHARD_ROWS) -
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH) -> DataFrame:
-    """``queries`` (query_id, q) against all shards -> query_id, vec_id, score of the best k of each shard."""
-    block = F.pmod(F.xxhash64("query_id", F.lit("block")), F.lit(max(1, math.ceil(queries.count() / BLOCK)))).cast("int")
-    shards = index.select("shard")
+    """``queries`` (query_id, q) against all shards -> query_id, vec_id, score of the best k of each shard. Blocks of queries
+    are sent to the shards; a shard goes through the shuffle once for each ``TURN`` blocks, which one task searches."""
+    blocks = max(1, math.ceil(queries.count() / BLOCK))
+    shards, turns = (index.agg(F.max("shard")).first()[0] or 0) + 1, math.ceil(blocks / TURN)
+    block = F.pmod(F.xxhash64("query_id", F.lit("block")), F.lit(blocks)).cast("int")
     asked = queries.withColumn("block", block).groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
-    number = F.sequence(F.lit(0), F.lit(max(0, (shards.agg(F.max("shard")).first()[0] or 0))))
-    pairs = asked.withColumn("shard", F.explode(number)).join(index, "shard")  # every block meets every shard once
+    asked = asked.select("asked", F.pmod("block", F.lit(turns)).alias("turn"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    held = index.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    # Both sides dealt alike, so the join adds no exchange; a number of partitions of its own, so that no task gets many shards.
+    sides = [t.repartition(shards * turns, "shard", "turn") for t in (held, asked)]
+    pairs = sides[0].hint("merge").join(sides[1], ["shard", "turn"])  # every block meets every shard once
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -202,13 +207,12 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEAR
                 yield pd.DataFrame({"query_id": np.array(out_q, np.int64), "vec_id": np.array(out_v, np.int64), "score": np.array(out_s, np.float64)})
 
     spark = index.sparkSession
-    dealt = pairs.repartition(F.col("shard"), F.col("block"))
     # A row holds a whole shard, so Arrow batches are kept to a few rows while this table is written.
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(rows)
     spark.conf.set(rows, "4")
     try:
-        return persist_table(dealt.mapInPandas(find, "query_id long, vec_id long, score double"), "hnsw-found", keep=True)
+        return persist_table(pairs.mapInPandas(find, "query_id long, vec_id long, score double"), "hnsw-found", keep=True)
     finally:
         spark.conf.set(rows, before)
 

@@ -33,7 +33,7 @@ from docsieve.llm.token_count import _groups
 WORDS, SHAPES, DIM, NONZERO, WINDOW = 8192, 1024, 64, 4, 2
 BUCKETS = WORDS + SHAPES
 ROWS_PER_CHUNK = 1024
-MAX_LABELLED, HIDDEN, THRESHOLD = 20_000, 32, 0.3
+MAX_LABELLED, HIDDEN, THRESHOLD, SALTS = 20_000, 32, 0.3, 64
 _SIGNS, _DIGIT = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~¡¿«»…“”‘’„–—•", re.compile(r"\d")
 
 
@@ -130,7 +130,9 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["chunk", "sums"])
 
     schema = "chunk int, sums binary"
-    summed = slim.mapInArrow(gather, schema).repartition("chunk").mapInArrow(add, schema)
+    # Nine chunks come from every task: they are added in SALTS places each before they meet.
+    parts = slim.mapInArrow(gather, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    summed = parts.repartition("chunk", "salt").mapInArrow(add, schema).repartition("chunk").mapInArrow(add, schema)
     out = np.zeros((BUCKETS // ROWS_PER_CHUNK, ROWS_PER_CHUNK * DIM), np.int64)
     for row in summed.collect():  # one row per chunk, nine in all
         out[row[0]] = np.frombuffer(zlib.decompress(row[1]), np.int64)

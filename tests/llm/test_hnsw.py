@@ -72,3 +72,13 @@ def test_each_length_is_searched_on_its_own(spark):
         part = {i: found[i] for i in truth}
         assert truth and recall(part, truth) >= 0.95
     assert set(found) == {i for i, _ in rows if i % 20 == 0}
+
+
+def test_many_blocks_and_turns(spark, monkeypatch):
+    """The same rows, whatever share of the queries a task searches; the index passes one exchange and is not joined again."""
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(600)], "vec_id long, embedding array<double>")
+    whole = by_query(hnsw.nearest(df, every=5, shard_rows=100))
+    monkeypatch.setattr(hnsw, "BLOCK", 4)
+    monkeypatch.setattr(hnsw, "TURN", 3)
+    assert len(whole) == 120 and by_query(hnsw.nearest(df, every=5, shard_rows=100)) == whole

@@ -29,6 +29,15 @@ def test_quality_on_the_held_out_fold(spark):
     assert all(r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in rows)
 
 
+def test_word_vectors_do_not_depend_on_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = [r["text"] or "" for r in docs.select("text").collect()]
+    want = np.zeros(quality.BUCKETS * quality.DIM, np.int64)
+    quality._cooccur(*quality.Units().of(texts), want, *quality.index_vectors())
+    for n in (1, 70):  # more parts than SALTS
+        assert (quality.word_vectors(docs.repartition(n)).reshape(-1) == want).all()
+
+
 def test_quality_edges(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 13)] + [(4, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     got = quality.classify(edge_docs, labels)
