@@ -139,19 +139,24 @@ def deduplicate(items: DataFrame, by: tuple[str, ...] = ("task_id", "code")) ->
     confidence and severity of the best. Items without content are never merged."""
     keys = [X.collapse(F.col(f)) for f in KEY_FIELDS]
     content = F.concat_ws("", *keys[1:])
-    key = F.when(content == "", F.concat(F.lit("#"), F.col("idx").cast("string"))).otherwise(F.to_json(F.array(*keys)))
+    key = F.when(content == "", F.array(F.lit("#"), F.col("idx").cast("string"))).otherwise(F.array(*keys))
     carried = [c for c in items.columns if c not in (*by, "location", "severity", "confidence")]
-    best = F.min(F.struct(*[c.alias(f"p{k}") for k, c in enumerate(priority())], F.col("severity"), F.col("confidence")))
-    grouped = (
-        items.withColumn("_key", key)
-        .groupBy(*by, "_key")
+    # Items of one place go first, on both sides of the shuffle: what a group gathers is its distinct places, not its items.
+    placed = (
+        items.withColumns({"_key": key, "_place": F.trim(X.text_of(F.col("location")))})
+        .groupBy(*by, "_key", "_place")
         .agg(
             F.min(F.struct("idx", *[c for c in carried if c != "idx"])).alias("first"),
-            F.array_sort(F.collect_list(F.struct("idx", F.trim(X.text_of(F.col("location"))).alias("location")))).alias("places"),
-            best.alias("best"),
+            F.min(F.struct(*[c.alias(f"p{k}") for k, c in enumerate(priority())], F.col("severity"), F.col("confidence"))).alias("best"),
             F.count(F.lit(1)).alias("merged"),
         )
     )
+    grouped = placed.groupBy(*by, "_key").agg(
+        F.min("first").alias("first"),
+        F.array_sort(F.collect_list(F.struct(F.col("first.idx").alias("idx"), F.col("_place").alias("location")))).alias("places"),
+        F.min("best").alias("best"),
+        F.sum("merged").alias("merged"),
+    )
     joined = F.aggregate(
         F.transform("places", lambda p: p["location"]),
         F.lit(""),

@@ -58,3 +58,20 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert sorted((r["doc_id"] or 0, r["idx"], r["description"].count("foo")) for r in T.sensitive_items(df, sens).collect()) == [(0, 1, 1), (0, 1, 1), (0, 2, 1), (0, 2, 1), (3, 1, 1)]
     assert sorted((r["doc_id"] or 0, r["kinds"], r["total_hits"], r["hidden_kinds"]) for r in T.sensitive_summary(df, sens, limit=1).collect()) == [(0, 2, 2, 1), (0, 2, 2, 1), (1, 0, 0, 0), (2, 0, 0, 0), (3, 1, 2000, 0)]
     assert T.sensitive_items(df, []).collect() == []
+
+
+def test_a_hot_group_of_findings_gathers_distinct_places_only(spark):
+    from pyspark.sql import functions as F
+
+    from docsieve.operators import report as R
+
+    names = {"task_id": F.lit(1), "code": F.lit("c"), "type": F.lit("issue"), "category": F.lit("k"), "excerpt": F.lit(""), "impact": F.lit(""), "suggestion": F.lit(""), "confidence": F.lit("low")}
+    idx = F.col("id")
+    hot = spark.range(20_000).select(
+        idx.alias("idx"), *[v.alias(k) for k, v in names.items()], F.when(idx == 777, "critical").otherwise("low").alias("severity"),
+        F.when(idx % 4 == 0, "").when(idx % 4 == 1, "p1").when(idx % 4 == 2, " p12 ").otherwise("q").alias("location"), F.when(idx < 19_990, F.lit(" d  x")).otherwise("").alias("description"),
+    )
+    rows = {r["idx"]: r for r in R.deduplicate(hot.withColumn("category", F.when(F.col("description") == "", "").otherwise(F.col("category")))).collect()}
+    first = rows[0]
+    assert (first["merged"], first["location"], first["severity"]) == (19_990, "p1；p12；q", "critical")
+    assert len(rows) == 11 and all(rows[k]["merged"] == 1 for k in range(19_990, 20_000))  # without content nothing is merged
