@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Labels of the language estimate.
@@ -39,6 +41,18 @@ def text_of(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def with_computed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``rows`` with more (or other) columns that are computed inside a higher-order function, so not as generated code: long
+    lists of conditions become methods too large for the JIT compiler, which then run many times slower."""
+    made = let(F.lit(0), lambda _: F.struct(*[c.alias(name) for name, c in columns.items()]))
+    return rows.withColumn("_made", made).select(*[c for c in rows.columns if c not in columns], "_made.*")
+
+
 def collapse(value: Column) -> Column:
     """White space to single spaces, trimmed."""
     return F.trim(F.regexp_replace(text_of(value), "(?U)\\s+", " "))
@@ -123,8 +137,8 @@ def line_number(text: Column, position: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines at any Unicode line end, without an empty last one."""
-    split = F.split(text_of(text), LINE_END)
-    return F.when(text_of(text) == "", F.array().cast("array<string>")).when(F.try_element_at(split, F.lit(-1)) == "", F.slice(split, 1, F.greatest(F.size(split) - 1, F.lit(1)))).otherwise(split)
+    cut = lambda split: F.when(F.try_element_at(split, F.lit(-1)) == "", F.slice(split, 1, F.greatest(F.size(split) - 1, F.lit(1)))).otherwise(split)
+    return F.when(text_of(text) == "", F.array().cast("array<string>")).otherwise(let(F.split(text_of(text), LINE_END), cut))
 
 
 def headings(text: Column, limit: int = 12) -> Column:
