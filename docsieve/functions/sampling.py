@@ -12,23 +12,28 @@ from docsieve.functions import values as V
 SIGNALS = ("图", "表", "Figure", "Fig.", "Table", "接线", "示意", "流程", "截图", "参数", "安装")
 
 
-
 def sampled_pages(total: Column, limit: Column, candidates: Column) -> Column:
     """All pages if they fit; else the first three, the last two, the candidates, evenly spaced pages (half-even
     rounding), then pages from the front, in order, cut to the limit."""
     total, limit = F.greatest(total, F.lit(0)).cast("int"), F.greatest(limit, F.lit(1)).cast("int")
-    every = F.when(total > 0, F.sequence(F.lit(1), F.greatest(total, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    # What is read of the front never goes beyond the limit: fewer pages than that are asked for, and those taken before fill the rest.
+    front = F.when(total > 0, F.sequence(F.lit(1), F.greatest(F.least(total, limit), F.lit(1)))).otherwise(F.array().cast("array<int>"))
     asked = F.filter(F.coalesce(candidates, F.array().cast("array<int>")), lambda p: (p >= 1) & (p <= total))
     edges = F.array_union(F.sequence(F.lit(1), F.least(F.lit(3), F.greatest(total, F.lit(1)))), F.sequence(F.greatest(F.lit(1), total - 1), F.greatest(total, F.lit(1))))
-    base = F.array_distinct(F.array_union(edges, asked))
-    parts = F.greatest(F.lit(1), limit - F.size(base))
-    spaced = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: (1 + F.bround(i * (total - 1) / F.greatest(F.lit(1), parts - 1), 0)).cast("int"))
-    # Spaced pages are added until the limit is reached; the first one is added in any case.
-    fresh = F.filter(F.array_distinct(spaced), lambda p: ~F.array_contains(base, p))
-    with_spaced = F.concat(base, F.slice(fresh, 1, F.greatest(limit - F.size(base), F.lit(1))))
-    rest = F.filter(every, lambda p: ~F.array_contains(with_spaced, p))
-    filled = F.concat(with_spaced, F.slice(rest, 1, F.greatest(limit - F.size(with_spaced), F.lit(0))))
-    return F.when(total <= limit, every).otherwise(F.slice(F.array_sort(filled), 1, limit))
+
+    def spaced(base: Column) -> Column:
+        """Spaced pages are added until the limit is reached; the first one is added in any case."""
+        parts = F.greatest(F.lit(1), limit - F.size(base))
+        pages = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: (1 + F.bround(i.cast("long") * (total - 1) / F.greatest(F.lit(1), parts - 1), 0)).cast("int"))
+        fresh = F.filter(F.array_distinct(pages), lambda p: ~F.array_contains(base, p))
+        return F.concat(base, F.slice(fresh, 1, F.greatest(limit - F.size(base), F.lit(1))))
+
+    def filled(some: Column) -> Column:
+        rest = F.filter(front, lambda p: ~F.array_contains(some, p))
+        return F.slice(F.array_sort(F.concat(some, F.slice(rest, 1, F.greatest(limit - F.size(some), F.lit(0))))), 1, limit)
+
+    chosen = X.let(X.let(F.array_distinct(F.array_union(edges, asked)), spaced), filled)
+    return F.when(total <= limit, front).otherwise(chosen)
 
 
 def sampled_times(duration: Column, most: Column) -> Column:

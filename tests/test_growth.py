@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from docsieve.functions import answers as A
+from docsieve.functions import sampling
 from docsieve.operators import report as R
 from docsieve.plans import catalogue, reports, structure, upkeep  # noqa: F401
 from tests.compare import oracle_rows, spark_rows
@@ -25,3 +26,10 @@ def test_items_of_one_id_count_as_often_as_they_are_reviewed(spark, sf_dir, tmp_
             FROM '{sf_dir}/lineitem.parquet' WHERE l_orderkey % 3 = 0) TO '{tmp_path}/lineitem.parquet'""")
     got = spark_rows(catalogue.QUERIES["op_review_overlay"](spark, str(tmp_path)))
     assert got == oracle_rows(catalogue.ORACLE_SQL["op_review_overlay"], str(tmp_path))
+
+
+def test_pages_of_very_long_documents_cost_no_more(spark):
+    """Work and memory follow the limit, not the number of pages: two billion pages would not fit an array."""
+    d = spark.createDataFrame([(2_000_000_000, 12, [5]), (3, 12, None), (0, 12, None), (40, 4, [9, 41, 0])], "total int, most int, c array<int>")
+    got = [r[0] for r in d.select(sampling.sampled_pages(F.col("total"), F.col("most"), F.col("c"))).collect()]
+    assert got[0] == [1, 2, 3, 4, 5, 6, 400000001, 800000001, 1200000000, 1600000000, 1999999999, 2000000000] and got[1:] == [[1, 2, 3], [], [1, 2, 3, 9]]
