@@ -12,12 +12,11 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from docsieve.functions import text as X
 from docsieve.functions import values as V
@@ -74,14 +73,24 @@ def sensitive_matches(docs: DataFrame, rules: Iterable[SensitiveRule], id_col: s
 _SPOTS = T.ArrayType(T.StructType([T.StructField("location", T.StringType()), T.StructField("excerpt", T.StringType())]))
 
 
-@F.pandas_udf(_SPOTS)
-def _spots(texts: pd.Series, found: pd.Series) -> pd.Series:
-    """Locations and excerpts of the terms found in each text."""
-    out = []
-    for text, terms in zip(texts, found, strict=True):
-        places = Places(text) if len(terms) else None
-        out.append([dict(zip(("location", "excerpt"), places.of([int(p) for p in m["positions"]], m["invalid"]), strict=True)) for m in terms])
-    return pd.Series(out)
+#: So many documents are worked on at once in Python; what they give is in Arrow's memory before the next ones are read.
+DOCUMENTS = 500
+
+
+def _spots(texts: pa.Array, found: pa.Array) -> pa.Array:
+    """Locations and excerpts of the terms found in each text. One text at a time is a Python string."""
+    done = []
+    for at in range(0, max(len(texts), 1), DOCUMENTS):
+        rows = []
+        for text, terms in zip(texts.slice(at, DOCUMENTS), found.slice(at, DOCUMENTS), strict=True):
+            terms = terms.as_py()
+            places = Places(text.as_py()) if terms else None
+            rows.append([dict(zip(("location", "excerpt"), places.of(m["positions"], m["invalid"]), strict=True)) for m in terms])
+        done.append(pa.array(rows, to_arrow_type(_SPOTS)))
+    return pa.concat_arrays(done)
+
+
+_spots = F.arrow_udf(_spots, _SPOTS)
 
 
 def sensitive_items(docs: DataFrame, rules: Iterable[SensitiveRule], limit: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +219,7 @@ def _per_document(docs: DataFrame, rules: Iterable[CommonRule], schema: str, row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = TermFinder(rules)
-        for batch in batches:
+        for batch in (whole.slice(at, DOCUMENTS) for whole in batches for at in range(0, whole.num_rows, DOCUMENTS)):
             owner, rows = [], []
             for i, (text, language) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
                 new = rows_of(finder, text.as_py(), language.as_py())

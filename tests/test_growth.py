@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docsieve.functions import answers as A
 from docsieve.functions import sampling
 from docsieve.operators import report as R
+from docsieve.operators import terms
 from docsieve.plans import catalogue, reports, structure, upkeep  # noqa: F401
 from tests.compare import oracle_rows, spark_rows
 
@@ -33,3 +37,18 @@ def test_pages_of_very_long_documents_cost_no_more(spark):
     d = spark.createDataFrame([(2_000_000_000, 12, [5]), (3, 12, None), (0, 12, None), (40, 4, [9, 41, 0])], "total int, most int, c array<int>")
     got = [r[0] for r in d.select(sampling.sampled_pages(F.col("total"), F.col("most"), F.col("c"))).collect()]
     assert got[0] == [1, 2, 3, 4, 5, 6, 400000001, 800000001, 1200000000, 1600000000, 1999999999, 2000000000] and got[1:] == [[1, 2, 3], [], [1, 2, 3, 9]]
+
+
+def test_a_text_of_many_pages_is_split_once(spark):
+    text = "\n".join(f"[第{k}页]\nsaid {k}" for k in range(20_000))
+    began = time.time()
+    got = spark.createDataFrame([(text,)], "t string").select(F.element_at(sampling.page_sections(F.col("t")), -1).alias("s")).first()["s"]
+    assert (got["page"], got["section"]) == (19_999, "[第19999页]\nsaid 19999")
+    assert time.time() - began < 30
+
+
+def test_spots_are_made_a_few_documents_at_a_time():
+    texts = pa.array(["a bad b"] * (2 * terms.DOCUMENTS + 1))
+    found = pa.array([[{"invalid": "bad", "positions": [2]}]] * len(texts))
+    got = terms._spots.func(texts, found)
+    assert len(got) == len(texts) and got[-1].as_py() == [{"location": "行：1，附近线索：a bad b", "excerpt": "a bad b"}]
