@@ -47,14 +47,17 @@ def sampled_times(duration: Column, most: Column) -> Column:
 
 def page_sections(text: Column) -> Column:
     """(page, section) by lines ``[第N页]``; what follows the list of extracted images is left out."""
-    body = F.try_element_at(F.split(X.text_of(text), "\\n\\nextracted_images:", 2), F.lit(1))
     marker = "(?m)^\\[第(\\d+)页\\](?=[^\\S\\n]*$)"
-    numbers = F.regexp_extract_all(body, F.lit(marker), 1)
-    parts = F.split(body, marker)
-    return F.transform(
-        numbers,
-        lambda n, i: F.struct(n.try_cast("int").alias("page"), F.trim(F.regexp_replace(F.concat(F.lit("[第"), n, F.lit("页]"), F.coalesce(F.try_element_at(parts, i + 2), F.lit(''))), "(?U)^\\s+|\\s+$", "")).alias("section")),
-    )
+
+    def cut(body: Column, parts: Column) -> Column:
+        return F.transform(
+            F.regexp_extract_all(body, F.lit(marker), 1),
+            lambda n, i: F.struct(n.try_cast("int").alias("page"), F.trim(F.regexp_replace(F.concat(F.lit("[第"), n, F.lit("页]"), F.coalesce(F.try_element_at(parts, i + 2), F.lit(""))), "(?U)^\\s+|\\s+$", "")).alias("section")),
+        )
+
+    # the text is split once, not for each of its pages
+    whole = F.try_element_at(F.split(X.text_of(text), "\\n\\nextracted_images:", 2), F.lit(1))
+    return X.let(whole, lambda body: X.let(F.split(body, marker), lambda parts: cut(body, parts)))
 
 
 def shows_figure(section: Column) -> Column:

@@ -54,30 +54,37 @@ def with_placeholders(first: DataFrame, second: DataFrame, note: Column) -> Data
 
 def document_header(text: Column) -> Column:
     """The leading ``file:`` lines."""
-    rows = X.lines(text)
-    flags = F.transform(rows, lambda x: x.startswith("file:"))
-    begin = F.array_position(flags, True).cast("int")
-    after = F.slice(flags, F.greatest(begin, F.lit(1)), F.greatest(F.size(flags), F.lit(1)))
-    end = F.array_position(after, False).cast("int")
-    n = F.when(end == 0, F.size(after)).otherwise(end - 1)
-    head = F.transform(F.slice(rows, F.greatest(begin, F.lit(1)), F.greatest(n, F.lit(0))), lambda x: F.trim(x))
-    return F.when(begin > 0, F.array_join(head, "\n")).otherwise("file: document")
+
+    def head(rows: Column, flags: Column) -> Column:
+        begin = F.array_position(flags, True).cast("int")
+        after = F.slice(flags, F.greatest(begin, F.lit(1)), F.greatest(F.size(flags), F.lit(1)))
+        end = F.array_position(after, False).cast("int")
+        n = F.when(end == 0, F.size(after)).otherwise(end - 1)
+        lines = F.transform(F.slice(rows, F.greatest(begin, F.lit(1)), F.greatest(n, F.lit(0))), lambda x: F.trim(x))
+        return F.when(begin > 0, F.array_join(lines, "\n")).otherwise("file: document")
+
+    return X.let(X.lines(text), lambda rows: X.let(F.transform(rows, lambda x: x.startswith("file:")), lambda flags: head(rows, flags)))
 
 
 def trimmed(text: Column, limit: int = CONTEXT_LIMIT) -> Column:
     """At most ``limit`` characters, with a note where text was cut off."""
-    t = F.regexp_replace(X.text_of(text), "(?U)^\\s+|\\s+$", "")
-    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, limit), "(?U)\\s+$", ""), F.lit(CUT_NOTE)))
+    cut = lambda t: F.when(F.length(t) <= limit, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, limit), "(?U)\\s+$", ""), F.lit(CUT_NOTE)))
+    return X.let(F.regexp_replace(X.text_of(text), "(?U)^\\s+|\\s+$", ""), cut)
 
 
 def page_context(text: Column, image_pages: Column, image_lines: Column, limit: int = CONTEXT_LIMIT) -> Column:
     """The sections of the images' pages and of those next to them, under the document's header; the whole text where no
     page is known or none is met."""
     near = F.flatten(F.transform(F.coalesce(image_pages, F.array().cast("array<int>")), lambda p: F.array(p - 1, p, p + 1)))
-    chosen = F.filter(sampling.page_sections(text), lambda s: F.array_contains(near, s["page"]) & (F.trim(s["section"]) != ""))
-    body = F.array_join(F.transform(chosen, lambda s: s["section"]), "\n\n")
-    scoped = F.concat(document_header(text), F.lit(f"\n\n{SCOPE_NOTE}\ncurrent_batch_images:\n"), F.array_join(image_lines, "\n"), F.lit("\n\n相关文档文本：\n"), body)
-    return trimmed(F.when(F.size(chosen) > 0, scoped).otherwise(text), limit)
+    sections = sampling.page_sections(text)
+    chosen = X.let(near, lambda pages: F.filter(sections, lambda s: F.array_contains(pages, s["page"]) & (F.trim(s["section"]) != "")))
+
+    def scoped(some: Column) -> Column:
+        body = F.array_join(F.transform(some, lambda s: s["section"]), "\n\n")
+        said = F.concat(document_header(text), F.lit(f"\n\n{SCOPE_NOTE}\ncurrent_batch_images:\n"), F.array_join(image_lines, "\n"), F.lit("\n\n相关文档文本：\n"), body)
+        return F.when(F.size(some) > 0, said).otherwise(text)
+
+    return trimmed(X.let(chosen, scoped), limit)
 
 
 def group_text(parts: DataFrame, by: list[str]) -> DataFrame:
