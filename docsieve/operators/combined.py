@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,28 +22,47 @@ ITEM_TYPES = {"issue": "问题", "suggestion": "建议", "non_issue": "非问题
 ACCEPTANCES = ("pending", "accepted", "rejected")
 
 
-def _answers_by_code(value: str | None) -> list[tuple[str, str]]:
-    found = A.find_json(value, salvage=False)
-    if isinstance(found, dict):
-        found = found.get("results", [found] if isinstance(found.get("items"), list) else None)
-    rows = [r for r in found if isinstance(r, dict)] if isinstance(found, list) else []
-    return [(A.field_text(r.get("code")), json.dumps(r, ensure_ascii=False)) for r in rows]
+_write = json.JSONEncoder(ensure_ascii=False).encode
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("code", T.StringType()), T.StructField("answer", T.StringType())])))
-def _parts(values: pd.Series) -> pd.Series:
-    return pd.Series([[{"code": c, "answer": a} for c, a in _answers_by_code(v)] for v in values])
+def _first_parts(answers: list[str | None] | None) -> dict[str, tuple[int, dict]]:
+    """Place and value of the first part of each code."""
+    first: dict[str, tuple[int, dict]] = {}
+    for value in answers or ():
+        found = A.find_json(value, salvage=False)
+        if isinstance(found, dict):
+            found = found.get("results", [found] if isinstance(found.get("items"), list) else None)
+        for k, r in enumerate(found if isinstance(found, list) else ()):
+            if isinstance(r, dict) and ((code := A.field_text(r.get("code"))) not in first or k < first[code][0]):
+                first[code] = (k, r)
+    return first
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _answered(answers: pa.Array, codes: pa.Array) -> pa.Array:
+    """For each code that a task asks the text of its part, null without one. Only parts that are asked for are written."""
+    texts, ends = [], [0]
+    for said, asked in zip(answers.to_pylist(), codes.to_pylist(), strict=True):
+        first = _first_parts(said)
+        for code in asked:
+            names = () if code is None else (code, "") if len(asked) == 1 else (code,)
+            part = min((first[c] for c in names if c in first), key=lambda x: x[0], default=None)
+            texts.append(None if part is None else _write(part[1]))
+        ends.append(len(texts))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(texts, pa.string()))
 
 
 def split_combined(answers: DataFrame, asked: DataFrame) -> DataFrame:
     """(task_id, answer) and (task_id, code) -> an answer for each asked code: the first part that names exactly that code.
     Parts of other codes are ignored. ``missing`` marks the codes to ask again; they have no answer. A single answer
-    without a code belongs to the only code asked."""
-    parts = answers.select("task_id", F.posexplode(_parts("answer")).alias("k", "p")).select("task_id", "k", F.col("p.code").alias("code"), F.col("p.answer").alias("part"))
-    only = asked.groupBy("task_id").agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("only_code")).filter("n = 1").select("task_id", "only_code")
-    parts = parts.join(only, "task_id", "left").withColumn("code", F.when(F.col("code") == "", F.coalesce("only_code", F.lit(""))).otherwise(F.col("code")))
-    first = parts.groupBy("task_id", "code").agg(F.min_by("part", "k").alias("answer"))
-    return asked.join(first, ["task_id", "code"], "left").withColumn("missing", F.col("answer").isNull())
+    without a code belongs to the only code asked. Answers and codes meet by task alone, before the answers are read: what is
+    gathered are the codes that a task asks and the answers to them, and no part is unfolded or shuffled."""
+    others = [c for c in asked.columns if c not in ("task_id", "code")]
+    codes = asked.groupBy("task_id").agg(F.collect_list(F.struct("code", *others)).alias("_asked"))
+    said = answers.groupBy("task_id").agg(F.collect_list("answer").alias("_said"))
+    both = codes.join(said, "task_id", "left").withColumn("_texts", _answered("_said", "_asked.code"))
+    rows = both.select("task_id", F.inline(F.arrays_zip(F.col("_asked").alias("a"), F.col("_texts").alias("answer"))))
+    return rows.select("task_id", "a.*", "answer").withColumn("missing", F.col("answer").isNull())
 
 
 def with_placeholders(first: DataFrame, second: DataFrame, note: Column) -> DataFrame:

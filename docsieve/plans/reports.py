@@ -77,12 +77,15 @@ def op_text_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT asked.task_id, asked.code, CASE WHEN part IS NULL THEN 'no answer' ELSE CAST(part AS VARCHAR) END AS answer FROM asked LEFT JOIN got USING (task_id, code)""")
 def op_combined_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's lines are one answer's parts, with a part of an unknown code and a second part of each code; four codes are asked."""
-    li = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("task_id"), "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    # both tables are dealt by order once: the sums, the unfolded codes and the join below need no shuffle of their own
+    li = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), "l_linenumber", "l_partkey").repartition("task_id")
+    li = li.groupBy("task_id", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
     part = F.to_json(F.struct(F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("code"), F.col("l_partkey").alias("part")))
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", part.alias("p")))), lambda x: x["p"]), ",")
     again = F.regexp_replace(parts, '"part":', '"part":9')
     answers = li.groupBy("task_id").agg(F.concat(F.lit('Answer: {"results":[{"code":"other"},'), parts, F.lit(","), again, F.lit("]}")).alias("answer"))
-    asked = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), F.explode(F.array(*[F.lit(f"c{k}") for k in range(1, 5)])).alias("code"))
+    tasks_asked = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id")).repartition("task_id")
+    asked = tasks_asked.select("task_id", F.explode(F.array(*[F.lit(f"c{k}") for k in range(1, 5)])).alias("code"))
     first = C.split_combined(answers, asked).withColumn("answer", F.get_json_object("answer", "$.part"))
     return C.with_placeholders(first, first.limit(0), F.lit("no answer"))
 

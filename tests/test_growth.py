@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docsieve.functions import answers as A
 from docsieve.functions import sampling
+from docsieve.operators import combined as C
 from docsieve.operators import report as R
 from docsieve.operators import terms
 from docsieve.plans import catalogue, reports, structure, upkeep  # noqa: F401
@@ -52,3 +53,23 @@ def test_spots_are_made_a_few_documents_at_a_time():
     found = pa.array([[{"invalid": "bad", "positions": [2]}]] * len(texts))
     got = terms._spots.func(texts, found)
     assert len(got) == len(texts) and got[-1].as_py() == [{"location": "行：1，附近线索：a bad b", "excerpt": "a bad b"}]
+
+
+def shuffles(df) -> int:
+    """Shuffles by hash in the plan before it runs."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_answers_meet_their_codes_without_shuffles_by_code(spark, sf_dir):
+    got = catalogue.QUERIES["op_combined_answers"](spark, sf_dir)
+    assert shuffles(got) == 2
+    assert spark_rows(got) == oracle_rows(catalogue.ORACLE_SQL["op_combined_answers"], sf_dir)
+
+
+def test_parts_without_a_code_belong_to_the_only_code(spark):
+    said = '{"results":[{"x":1},{"code":"a","x":2},{"code":"b"},{"code":"a","x":3}]}'
+    answers = spark.createDataFrame([(t, said) for t in (1, 2, 3, 4)] + [(5, None), (6, "none")], "task_id long, answer string")
+    asked = spark.createDataFrame([(1, "a", 7), (2, "a", 7), (2, "c", 8), (2, "a", 9), (3, None, 7), (4, "", 7), (4, "b", 7), (5, "a", 7), (6, "a", 7), (None, "a", 7)], "task_id long, code string, more int")
+    got = {(r["task_id"], r["code"], r["more"]): r["answer"] for r in C.split_combined(answers, asked).collect()}
+    assert {k: v for k, v in got.items() if v is not None} == {(1, "a", 7): '{"x": 1}', (2, "a", 7): '{"code": "a", "x": 2}', (2, "a", 9): '{"code": "a", "x": 2}', (4, "", 7): '{"x": 1}', (4, "b", 7): '{"code": "b"}'}
+    assert len(got) == 10
