@@ -59,11 +59,22 @@ def check_groups(checks: DataFrame, images: DataFrame, meta: DataFrame, size: in
     """Groups of at most ``size`` checks of one target, with their source (the own one, else the other one, else none), the
     numbers of images and batches, and the notes that a person has to read. ``checks``: task_id, code, place; ``images``:
     task_id, source, place, mime_type; ``meta``: task_id, total_pages, selected_pages, omitted_pages, image_error."""
-    grouped = numbered(checks.withColumn("target", target_of(F.col("code"))), ["task_id", "target"], ["place", "code"], "_n").withColumn("group", F.floor((F.col("_n") - 1) / size).cast("long"))
+    # A task's checks are dealt by task once, and are no more than there are checks; its images, which may be many, are counted.
+    dealt = checks.select("task_id", "place", "code", target_of(F.col("code")).alias("target")).repartition("task_id")
+    place = F.row_number().over(Window.partitionBy("task_id", "target").orderBy("place", "code"))
+    grouped = dealt.withColumn("_n", place).withColumn("group", F.floor((F.col("_n") - 1) / size).cast("long"))
     codes = F.transform(F.array_sort(F.collect_list(F.struct("_n", "code"))), lambda x: x["code"])
     grouped = grouped.groupBy("task_id", "target", "group").agg(codes.alias("codes"))
-    found = image_batches(checks, images, batch).groupBy("task_id", "target").agg(F.count("batch").alias("checkable"), F.count_if(F.col("batch").isNull()).alias("skipped"), F.countDistinct("batch").alias("batches"))
-    out = grouped.join(_targets(checks, images), ["task_id", "target"]).join(found, ["task_id", "target"], "left").join(meta.dropDuplicates(["task_id"]), "task_id", "left")
+    good = F.coalesce(F.col("mime_type"), F.lit("")).startswith("image/")
+    per = {f"_{s}_{name}": F.count_if((F.col("source") == s) & which) for s in ("page", "resource") for name, which in (("checkable", good), ("skipped", ~good))}
+    out = grouped.filter("task_id is not null").join(images.groupBy("task_id").agg(*[c.alias(k) for k, c in per.items()]), "task_id", "left").join(meta.dropDuplicates(["task_id"]), "task_id", "left")
+    has = {s: F.coalesce(F.col(f"_{s}_checkable") + F.col(f"_{s}_skipped"), F.lit(0)) > 0 for s in ("page", "resource")}
+    first = F.col("target")
+    own = F.when(first == "page", has["page"]).otherwise(has["resource"])
+    other = F.when(first == "page", has["resource"]).otherwise(has["page"])
+    out = out.withColumn("source", F.when(own, first).when(other, F.when(first == "page", "resource").otherwise("page")))
+    out = out.withColumns({name: F.when(F.col("source") == "page", F.col(f"_page_{name}")).when(F.col("source") == "resource", F.col(f"_resource_{name}")) for name in ("checkable", "skipped")})
+    out = out.withColumn("batches", F.ceil(F.col("checkable") / batch).cast("long"))  # images fill their batches in order
     page, back = F.col("target") == "page", F.col("source") != F.col("target")
     told = [F.lit(OMITTED_NOTE[0]), F.coalesce(F.col("total_pages").cast("string"), F.lit("-")), F.lit(OMITTED_NOTE[1]), F.coalesce(F.col("selected_pages"), F.lit(0)).cast("string"), F.lit(OMITTED_NOTE[2]), F.col("omitted_pages").cast("string"), F.lit(OMITTED_NOTE[3])]
     error = F.trim(X.text_of(F.col("image_error")))

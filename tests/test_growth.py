@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docsieve.functions import answers as A
 from docsieve.functions import sampling
 from docsieve.operators import combined as C
+from docsieve.operators import composed as CO
 from docsieve.operators import report as R
 from docsieve.operators import terms
 from docsieve.plans import catalogue, reports, structure, upkeep  # noqa: F401
@@ -73,3 +74,17 @@ def test_parts_without_a_code_belong_to_the_only_code(spark):
     got = {(r["task_id"], r["code"], r["more"]): r["answer"] for r in C.split_combined(answers, asked).collect()}
     assert {k: v for k, v in got.items() if v is not None} == {(1, "a", 7): '{"x": 1}', (2, "a", 7): '{"code": "a", "x": 2}', (2, "a", 9): '{"code": "a", "x": 2}', (4, "", 7): '{"x": 1}', (4, "b", 7): '{"code": "b"}'}
     assert len(got) == 10
+
+
+def test_groups_of_checks_are_dealt_by_task_once(spark, sf_dir):
+    got = catalogue.QUERIES["op_check_groups"](spark, sf_dir)
+    assert shuffles(got) <= 3  # checks, images and notes
+    assert spark_rows(got) == oracle_rows(catalogue.ORACLE_SQL["op_check_groups"], sf_dir)
+
+
+def test_images_fill_batches_by_their_number(spark):
+    checks = spark.createDataFrame([(1, "p", 1), (2, "p", 1), (3, "p", 1), (None, "p", 1)], "task_id int, code string, place int")
+    images = spark.createDataFrame([(1, "page", k, "image/png" if k % 2 else "text/plain") for k in range(10)] + [(2, "other", 1, "image/png"), (3, None, 1, "image/png")], "task_id int, source string, place int, mime_type string")
+    meta = spark.createDataFrame([], "task_id int, total_pages int, selected_pages int, omitted_pages int, image_error string")
+    got = {r["task_id"]: (r["source"], r["checkable"], r["skipped"], r["batches"]) for r in CO.check_groups(checks, images, meta, batch=4).collect()}
+    assert got == {1: ("page", 5, 5, 2), 2: (None, 0, 0, 0), 3: (None, 0, 0, 0)}
