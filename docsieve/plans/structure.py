@@ -328,7 +328,8 @@ def op_issue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("#### 明确问题\n- 未发现明确问题。\n未见异常"))
     )
     label = F.when(F.col("l_suppkey") % 3 != 0, F.concat(F.lit("PDF第"), F.col("l_suppkey").cast("string"), F.lit("页")))
-    batches = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey")).select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("batch"), label.alias("label"), said.alias("content"))
+    dealt = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition("l_orderkey")  # by order, for all that follows
+    batches = dealt.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey")).select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("batch"), label.alias("label"), said.alias("content"))
     notes = read(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("task_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("at"), F.lit(" note ").alias("note"))
     return CO.issue_summary(batches, notes)
 

@@ -88,3 +88,16 @@ def test_images_fill_batches_by_their_number(spark):
     meta = spark.createDataFrame([], "task_id int, total_pages int, selected_pages int, omitted_pages int, image_error string")
     got = {r["task_id"]: (r["source"], r["checkable"], r["skipped"], r["batches"]) for r in CO.check_groups(checks, images, meta, batch=4).collect()}
     assert got == {1: ("page", 5, 5, 2), 2: (None, 0, 0, 0), 3: (None, 0, 0, 0)}
+
+
+def test_answers_are_summed_up_by_task_alone(spark, sf_dir):
+    got = catalogue.QUERIES["op_issue_summary"](spark, sf_dir)
+    assert shuffles(got) <= 3  # answers, how many there are, and findings with notes
+    assert spark_rows(got) == oracle_rows(catalogue.ORACLE_SQL["op_issue_summary"], sf_dir)
+
+
+def test_lines_of_an_answer_keep_their_sections(spark):
+    said = "x\n明确问题\n" + "页面正常\n" * 3000 + "- 标题缺失\n未发现问题\n- 图片错误\n**需人工确认：看一下**\n- 随便\n- 图片清晰"
+    batches = spark.createDataFrame([(1, 1, said, "a"), (1, 2, "# 图片错误\n图片模糊\n正常", None), (2, 1, None, "b")], "task_id int, batch int, content string, label string")
+    got = sorted((r["task_id"], r["batch"], r["at"], r["kind"], r["line"], r["label"]) for r in CO.summary_lines(batches).collect())
+    assert got == [(1, 1, 3002, "issue", "标题缺失", "a"), (1, 1, 3005, "manual", "看一下", "a"), (1, 1, 3006, "manual", "随便", "a"), (1, 2, 1, "issue", "图片模糊", None)]
