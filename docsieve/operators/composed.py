@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from pathlib import PurePosixPath
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -222,24 +222,33 @@ def matched_reviews(rows: DataFrame, items: DataFrame) -> DataFrame:
     return r.select("task_id", "row_number", F.when(problem.isNull(), F.col("_c")).alias("code"), F.when(problem.isNull(), F.col("_i")).alias("item_id"), problem.alias("problem"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _walked(lists: pd.Series) -> pd.Series:
+def _numbered_names(x: str):
+    """The name with -2, -3, … before its suffix."""
+    path = PurePosixPath(x)
+    end = f"-2{path.suffix}"
+    head = str(path.with_name(path.stem + end)).removesuffix(end)
+    return lambda k: f"{head}-{k}{path.suffix}"
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _walked(lists: pa.Array) -> pa.Array:
     """The names of a group in order, each as it was given or with the first ending that is free then."""
-    out = []
-    for names in lists:
+    out, ends = [], [0]
+    for names in lists.to_pylist():
         used: dict[str, int] = {}  # a name that is taken, and the last number that was tried for it
         for x in names:
             pick = x
             if x in used:
-                path = PurePosixPath(x)
-                free = ((k, str(path.with_name(f"{path.stem}-{k}{path.suffix}"))) for k in range(used[x] + 1, NAMES + 1))
+                name = _numbered_names(x)
+                free = ((k, name(k)) for k in range(used[x] + 1, NAMES + 1))
                 number, pick = next((f for f in free if f[1] not in used), (0, ""))
                 if not number:
                     raise ValueError(f"more than {NAMES} files of the name {x}")
                 used[x] = number
             used[pick] = 1  # each name is taken once, so the keys are the names in order
-        out.append(list(used))
-    return pd.Series(out)
+        out += used
+        ends.append(len(out))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.string()))
 
 
 def unique_names(files: DataFrame, by: Sequence[str], on: str, name: str) -> DataFrame:
@@ -247,22 +256,22 @@ def unique_names(files: DataFrame, by: Sequence[str], on: str, name: str) -> Dat
     is free then, before the suffix; NAMES files of one name at most, more stop the query. A made name may meet a given one
     only if they differ in such endings alone, so names are grouped by what is left without them. Where a group has one name
     only, files are numbered; only where several meet and one of them repeats are they walked, in the order of ``on`` (which
-    must tell the files of a group apart)."""
+    must tell the files of a group apart). Files are dealt by what they are grouped by once and for all; a group is sorted
+    on disk where it is large, and only one that is walked is gathered."""
     clean = F.coalesce(F.nullif(F.btrim(X.text_of(F.col(name)), F.lit("/\\")), F.lit("")), F.lit("document"))
     pattern = "(?s)^(.*?[^/])((?:-\\d+)*)(\\.[^./]+)?$"
     head, ends, suffix = (F.regexp_extract("_name", pattern, k) for k in (1, 2, 3))
-    rooted = files.withColumn("_name", clean).withColumn("_root", F.concat(head, F.lit("\n"), suffix))
     keys = [*by, "_root"]
-    counts = rooted.groupBy(*keys, "_name").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.max("_n").alias("_most"), F.count(F.lit(1)).alias("_names"))
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
-    told = rooted.alias("r").join(counts.alias("c"), same).select("r.*", "_most", "_names")
-    kept = told.filter("_most = 1").withColumn("unique_name", F.col("_name"))
-    alike = numbered(told.filter("_most > 1 and _names = 1"), keys, [on], "_n")
+    rooted = files.withColumn("_name", clean).withColumn("_root", F.concat(head, F.lit("\n"), suffix)).repartition(*keys)
+    told = rooted.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_name").orderBy(on)))
     many = F.raise_error(F.concat(F.lit(f"more than {NAMES} files of the name "), F.col("_name"))).cast("string")
-    alike = alike.filter(F.when(F.col("_n") > NAMES, many).otherwise("") == "").withColumn("unique_name", F.when(F.col("_n") == 1, F.col("_name")).otherwise(F.concat(head, ends, F.lit("-"), F.col("_n").cast("string"), suffix)))
+    told = told.filter(F.when(F.col("_n") > NAMES, many).otherwise("") == "")
+    whole = Window.partitionBy(*keys)
+    told = told.withColumn("_meet", (F.max("_n").over(whole) > 1) & (F.count_if(F.col("_n") == 1).over(whole) > 1))
+    made = F.concat(head, ends, F.lit("-"), F.col("_n").cast("string"), suffix)
+    alike = told.filter("not _meet").withColumn("unique_name", F.when(F.col("_n") == 1, F.col("_name")).otherwise(made))
     row = F.struct(F.struct(*files.columns).alias("row"), F.col("_name").alias("name"))
     order = lambda a, b: F.when(a["row"][on] < b["row"][on], -1).when(a["row"][on] > b["row"][on], 1).otherwise(0)
-    groups = told.filter("_most > 1 and _names > 1").groupBy(*keys).agg(F.array_sort(F.collect_list(row), order).alias("_g"))
+    groups = told.filter("_meet").groupBy(*keys).agg(F.array_sort(F.collect_list(row), order).alias("_g"))
     walked = groups.select(F.inline(F.arrays_zip(F.col("_g").alias("f"), _walked(F.transform("_g", lambda x: x["name"])).alias("unique_name")))).select("f.row.*", "unique_name")
-    columns = [*files.columns, "unique_name"]
-    return walked.unionByName(kept.select(columns)).unionByName(alike.select(columns))
+    return walked.unionByName(alike.select(*files.columns, "unique_name"))

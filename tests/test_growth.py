@@ -6,6 +6,7 @@ import time
 
 import duckdb
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from docsieve.functions import answers as A
@@ -101,3 +102,17 @@ def test_lines_of_an_answer_keep_their_sections(spark):
     batches = spark.createDataFrame([(1, 1, said, "a"), (1, 2, "# 图片错误\n图片模糊\n正常", None), (2, 1, None, "b")], "task_id int, batch int, content string, label string")
     got = sorted((r["task_id"], r["batch"], r["at"], r["kind"], r["line"], r["label"]) for r in CO.summary_lines(batches).collect())
     assert got == [(1, 1, 3002, "issue", "标题缺失", "a"), (1, 1, 3005, "manual", "看一下", "a"), (1, 1, 3006, "manual", "随便", "a"), (1, 2, 1, "issue", "图片模糊", None)]
+
+
+def test_files_are_dealt_by_their_names_once(spark, sf_dir):
+    got = catalogue.QUERIES["op_unique_names"](spark, sf_dir)
+    assert shuffles(got) <= 2  # one, which both kinds of groups read
+    assert spark_rows(got) == oracle_rows(catalogue.ORACLE_SQL["op_unique_names"], sf_dir)
+
+
+def test_a_name_that_repeats_too_often_stops_before_it_is_walked(spark):
+    files = spark.range(1002).select(F.lit(1).alias("t"), "id", F.when(F.col("id") == 0, "a-b.txt").when(F.col("id") == 1, "a-2.txt").otherwise("a.txt").alias("name"))
+    with pytest.raises(Exception, match="more than 999 files of the name a.txt"):
+        CO.unique_names(files, ["t"], "id", "name").count()
+    fine = {r["id"]: r["unique_name"] for r in CO.unique_names(files.filter("id < 1000"), ["t"], "id", "name").collect()}
+    assert len(set(fine.values())) == 1000 and (fine[1], fine[2], fine[3], fine[999]) == ("a-2.txt", "a.txt", "a-3.txt", "a-999.txt")
