@@ -142,18 +142,23 @@ def deduplicate(items: DataFrame, by: tuple[str, ...] = ("task_id", "code")) ->
     """Items that agree in type and content are one: the first stays, takes the other places that are new to it, and the
     confidence and severity of the best. Items without content are never merged."""
     keys = [X.collapse(F.col(f)) for f in KEY_FIELDS]
-    content = F.concat_ws("", *keys[1:])
-    key = F.when(content == "", F.array(F.lit("#"), F.col("idx").cast("string"))).otherwise(F.array(*keys))
-    carried = [c for c in items.columns if c not in (*by, "location", "severity", "confidence")]
+    bare = F.array(F.lit("#"), F.col("idx").cast("string"))
+    key = X.let(F.array(*keys), lambda k: F.when(F.concat_ws("", F.slice(k, 2, len(keys))) == "", bare).otherwise(k))
+    carried = [c for c in items.columns if c not in (*by, "idx", "location", "severity", "confidence")]
+    # A row holds a text once: where the key says what the fields say, they are read from it, and words of the vocabulary are
+    # read from their rank. What is sorted and shuffled has neither twice.
+    own = F.array(*[F.col(f) for f in KEY_FIELDS])
+    kind, sure, grave, _ = priority()
+    kept = {"_own": F.when(~own.eqNullSafe(F.col("_key")), own), "_rank": (kind * 100 + sure * 10 + grave).cast("int")}
+    kept |= {"_severity": F.when(grave == len(SEVERITIES), F.col("severity")), "_confidence": F.when(sure == len(CONFIDENCES), F.col("confidence"))}
+    extra = [c for c in carried if c not in KEY_FIELDS]
+    lean = X.with_computed(items.withColumns({"_key": key, "_place": F.trim(X.text_of(F.col("location")))}), kept)
+    lean = lean.select(*by, "_key", "_place", "idx", *kept, *extra)
     # Items of one place go first, on both sides of the shuffle: what a group gathers is its distinct places, not its items.
-    placed = (
-        items.withColumns({"_key": key, "_place": F.trim(X.text_of(F.col("location")))})
-        .groupBy(*by, "_key", "_place")
-        .agg(
-            F.min(F.struct("idx", *[c for c in carried if c != "idx"])).alias("first"),
-            F.min(F.struct(*[c.alias(f"p{k}") for k, c in enumerate(priority())], F.col("severity"), F.col("confidence"))).alias("best"),
-            F.count(F.lit(1)).alias("merged"),
-        )
+    placed = lean.groupBy(*by, "_key", "_place").agg(
+        F.min(F.struct("idx", "_own", *extra)).alias("first"),
+        F.min(F.struct("_rank", "idx", "_severity", "_confidence")).alias("best"),
+        F.count(F.lit(1)).alias("merged"),
     )
     grouped = placed.groupBy(*by, "_key").agg(
         F.min("first").alias("first"),
@@ -166,7 +171,11 @@ def deduplicate(items: DataFrame, by: tuple[str, ...] = ("task_id", "code")) ->
         F.lit(""),
         lambda a, b: F.when(a == "", b).when((b == "") | F.contains(a, b), a).otherwise(F.concat(a, F.lit("；"), b)),
     )
-    return grouped.select(*by, "first.*", joined.alias("location"), "best.severity", "best.confidence", "merged")
+    fields = {f: F.when(F.col("first._own").isNull(), F.get("_key", F.lit(k))).otherwise(F.get("first._own", F.lit(k))).alias(f) for k, f in enumerate(KEY_FIELDS)}
+    rank = F.col("best._rank")
+    word = lambda words, place, other: F.coalesce(F.get(F.array(*[F.lit(w) for w in words]), place), other)
+    levels = [word(SEVERITIES, rank % 10, F.col("best._severity")).alias("severity"), word(CONFIDENCES, F.floor(rank / 10).cast("int") % 10, F.col("best._confidence")).alias("confidence")]
+    return grouped.select(*by, "first.idx", *[fields.get(c, F.col(f"first.{c}")) for c in carried], joined.alias("location"), *levels, "merged")
 
 
 def rank_items(items: DataFrame, by: tuple[str, ...] = ("task_id", "code")) -> DataFrame:

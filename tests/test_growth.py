@@ -116,3 +116,18 @@ def test_a_name_that_repeats_too_often_stops_before_it_is_walked(spark):
         CO.unique_names(files, ["t"], "id", "name").count()
     fine = {r["id"]: r["unique_name"] for r in CO.unique_names(files.filter("id < 1000"), ["t"], "id", "name").collect()}
     assert len(set(fine.values())) == 1000 and (fine[1], fine[2], fine[3], fine[999]) == ("a-2.txt", "a.txt", "a-3.txt", "a-999.txt")
+
+
+def test_merged_items_keep_their_texts_and_words(spark):
+    """As written in the first item, whatever the group's key and the vocabulary make of them."""
+    fields = "task_id long, code string, idx long, type string, category string, location string, excerpt string, description string, impact string, suggestion string, severity string, confidence string, more string"
+    rows = [(1, "c", 2, " issue", None, "p2", "", "a  b", None, "", "odd", None, "y"), (1, "c", 1, "issue ", "", "p1", "", " a b", "", "", None, "high", "x"), (1, "c", 3, "issue", "", "p3", "", "", "", None, "", "sure", "z"), (1, "c", 4, "issue", "k", " p4", "", "d", "", "", "low", "low", None)]
+    got = {r["idx"]: r for r in R.deduplicate(spark.createDataFrame(rows, fields)).collect()}
+    assert {k: (r["type"], r["category"], r["description"], r["impact"], r["suggestion"], r["location"], r["severity"], r["confidence"], r["merged"], r["more"]) for k, r in got.items()} == {
+        1: ("issue ", "", " a b", "", "", "p1；p2", None, "high", 2, "x"), 3: ("issue", "", "", "", None, "p3", "", "sure", 1, "z"), 4: ("issue", "k", "d", "", "", "p4", "low", "low", 1, None),
+    }
+
+
+def test_merging_shuffles_a_text_once(spark, sf_dir):
+    plan = catalogue.QUERIES["op_item_dedupe"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct(idx, idx#" in plan and ", type, type#" not in plan
